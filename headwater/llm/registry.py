@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, chat, decontaminate, licences, near, spans
+from headwater.llm import bpe, chat, decontaminate, fingerprint, language, licences, near, pii, spans, toxicity
 from headwater.session import table
 
+#: Key of the registered query; a deployment passes its own secret.
+PII_KEY = "headwater-demonstration-key"
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
@@ -18,6 +20,10 @@ def tokenizer() -> tuple[str, str]:
     return P.path(RANKS), P.PATTERN
 
 
+def op1_pii_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, d, "documents"), PII_KEY)
+
+
 def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return near.ngram_jaccard_join(table(spark, d, "documents"))
 
@@ -26,6 +32,10 @@ def op3_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.find_benchmark(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
+def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
 def op5_licences(spark: SparkSession, d: str) -> DataFrame:
     return licences.scan_licences(table(spark, d, "documents")).drop("spans")
 
@@ -37,6 +47,10 @@ def op6_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat.digest(chat.format_chat(rows))
 
 
+def op7_order_minhash(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint.compare_edits(table(spark, d, "documents"))
+
+
 def op8_span_dedup(spark: SparkSession, d: str) -> DataFrame:
     return spans.dedup_spans(table(spark, d, "documents"))
 
@@ -45,6 +59,10 @@ def op9_bpe(spark: SparkSession, d: str) -> DataFrame:
     return bpe.bpe(table(spark, d, "documents"), *tokenizer())
 
 
+def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(table(spark, d, "documents"))
+
+
 #: The same in DuckDB where SQL can express it.
 SQL: dict[str, str] = {
     "op6_chat_format": """
