@@ -34,7 +34,7 @@ def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     place = start + np.arange(WINDOW)[:, None]
     if not len(data):
         return np.zeros((WINDOW, 0), np.int16), text
-    return np.where(place < at[1:][text], data[np.minimum(place, len(data) - 1)], PAD).astype(np.int16), text
+    return np.where(place < at[1:][text], data[np.minimum(place, len(data) - 1)].astype(np.int16), np.int16(PAD)), text
 
 
 class Model:

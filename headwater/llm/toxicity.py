@@ -24,7 +24,7 @@ WINDOW, STRIDE, LETTERS = 24, 12, 16
 WORDS, EMBED, CHARS, HIDDEN, ATTEND = 4096, 8, 6, 8, 8
 #: Bounds of the training sample: rows of each label, and windows a row is cut into at most (spread over the text).
 PER_CLASS, WINDOWS_A_ROW = 1500, 48
-ROUNDS, BATCH = 8, 96
+ROUNDS, STEPS, BATCH = 8, 40, 96
 CUT = 0.3
 
 
@@ -211,12 +211,11 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
         top = order[np.concatenate([[True], np.diff(text[order]) != 0])] if len(order) else order
         if r < 2:  # short texts first: their label is that of nearly every window
             top = top[windows[text[top]] <= (6, 16)[r]] if (windows[text[top]] <= 6).sum() > 50 else top
-        spare = rng.choice(len(start), len(top) // 2)
-        chosen = np.concatenate([top, top, spare[y[text[spare]] == 0]]) if r < 2 else np.concatenate([top, spare[y[text[spare]] == 0]])
-        for at in range(0, len(chosen), BATCH):
-            if at == 0:
-                chosen = rng.permutation(chosen)
-            b = chosen[at : at + BATCH]
+        high, low = top[y[text[top]] == 1], top[y[text[top]] == 0]
+        spare = np.flatnonzero(y[text] == 0)
+        for _ in range(STEPS):  # both labels alike, and as many steps whatever the sample's size
+            half = [rng.choice(x, BATCH // k) for x, k in ((high, 2), (low, 3), (spare, 6)) if len(x)]
+            b = np.concatenate(half) if half else top[:0]
             place = start[b] + np.arange(WINDOW)[:, None]
             there = place < end[b]
             unit = np.where(there, number[np.minimum(place, len(number) - 1)], len(letters))
