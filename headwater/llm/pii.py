@@ -57,6 +57,11 @@ HINT = r"[@0-9]|(?:AKIA|ASIA|ghp|gho|sk_|pk_)|(?<!\p{L})(?=\p{Lu}|г-|κ)(?:" +
 Attempt = Callable[[Column], Column]
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once and stands once in the plan, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def entities(text: Column) -> Column:
     """array<string>: all entities of a text in order; empty for null."""
     return F.when(F.coalesce(text.rlike(HINT), F.lit(False)), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
@@ -72,8 +77,8 @@ def kind(e: Column) -> Column:
 
 def unit(e: Column) -> Column:
     """Kind and canonical form: what is one entity. Of names, each word is its own."""
-    k = kind(e)
-    return F.concat(k, F.lit(":"), F.when(k.isin("email", "name"), F.lower(e)).when(k == "ip", e).otherwise(F.regexp_replace(e, r"[^\p{L}\p{N}]", "")))
+    plain = F.regexp_replace(e, r"[^\p{L}\p{N}]", "")
+    return let(kind(e), lambda k: F.concat(k, F.lit(":"), F.when(k.isin("email", "name"), F.lower(e)).when(k == "ip", e).otherwise(plain)))
 
 
 def _random(seed: Column, j: Column) -> Column:
@@ -86,21 +91,27 @@ def _pick(alphabet: str, r: Column) -> Column:
 
 
 def _letter(c: Column, r: Column, as_name: bool) -> Column:
-    low, out = F.lower(c), None
+    return let(F.lower(c), lambda low: _cased(c, low, r, as_name))
+
+
+def _cased(c: Column, low: Column, r: Column, as_name: bool) -> Column:
+    out = None
     for vowels, consonants, script in LETTERS.values():
         one = F.when(low.isin(*vowels), _pick(vowels, r)).otherwise(_pick(consonants, r)) if as_name else _pick(vowels + consonants, r)
         out = F.when(low.rlike(script), one) if out is None else out.when(low.rlike(script), one)
-    out = out.otherwise(low)
-    return F.when(c != low, F.upper(out)).otherwise(out)
+    return let(out.otherwise(low), lambda new: F.when(c != low, F.upper(new)).otherwise(new))
 
 
 def _poured(e: Column, seed: Column, kept: Column, as_name: bool = False) -> Column:
     """The format of ``e`` with keyed digits and letters; the first ``kept`` of them stay."""
 
     def one(c: Column, i: Column) -> Column:
-        j = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        r = _random(seed, j)
-        return F.when(~c.rlike(r"[\p{L}\p{N}]") | (j < kept), c).when(c.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(_letter(c, r, as_name))
+        def at(j: Column) -> Column:
+            new = let(_random(seed, j), lambda r: F.when(c.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(_letter(c, r, as_name)))
+            return F.when(j < kept, c).otherwise(new)
+
+        place = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+        return F.when(c.rlike(r"[\p{L}\p{N}]"), let(place, at)).otherwise(c)
 
     return F.array_join(F.transform(F.split(e, ""), one), "")
 
@@ -115,11 +126,13 @@ def _luhn(digits: Column) -> Column:
 
 
 def _card(e: Column, seed: Column) -> Column:
-    new = _poured(e, seed, F.lit(0))
     digits = lambda x: F.regexp_replace(x, r"\D", "")
-    head = F.substring(new, F.lit(1), F.length(new) - 1)
-    fixed = F.concat(head, ((10 - _luhn(F.concat(digits(head), F.lit("0"))) % 10) % 10).cast("string"))
-    return F.when(_luhn(digits(e)) % 10 == 0, fixed).otherwise(new)
+
+
+    def valid(head: Column) -> Column:
+        return F.concat(head, ((10 - _luhn(F.concat(digits(head), F.lit("0"))) % 10) % 10).cast("string"))
+
+    return let(_poured(e, seed, F.lit(0)), lambda new: F.when(_luhn(digits(e)) % 10 == 0, let(F.substring(new, F.lit(1), F.length(new) - 1), valid)).otherwise(new))
 
 
 def _mod97(s: Column) -> Column:
@@ -129,11 +142,13 @@ def _mod97(s: Column) -> Column:
 
 
 def _iban(e: Column, seed: Column) -> Column:
-    new = _poured(e, seed, F.lit(2))
     plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-    start = F.concat(F.substring(new, F.lit(1), F.lit(2)), F.lit("00"), F.substring(new, F.lit(5), F.length(new)))
-    check = F.lpad((98 - _mod97(plain(start))).cast("string"), 2, "0")
-    return F.when(_mod97(plain(e)) == 1, F.concat(F.substring(new, F.lit(1), F.lit(2)), check, F.substring(new, F.lit(5), F.length(new)))).otherwise(new)
+
+    def valid(new: Column) -> Column:
+        country, rest = F.substring(new, F.lit(1), F.lit(2)), F.substring(new, F.lit(5), F.length(new))
+        return F.concat(country, F.lpad((98 - _mod97(plain(F.concat(country, F.lit("00"), rest)))).cast("string"), 2, "0"), rest)
+
+    return let(_poured(e, seed, F.lit(2)), lambda new: F.when(_mod97(plain(e)) == 1, valid(new)).otherwise(new))
 
 
 def _email(e: Column, seed: Column, key: str) -> Column:
@@ -172,14 +187,17 @@ def surrogate(e: Column, key: str, attempt: Attempt) -> Column:
     def word(w: Column) -> Column:
         return F.when(_is_title(w), w).otherwise(_given(w, key).otherwise(_poured(w, seed(F.concat(F.lit("name:"), F.lower(w))), F.lit(0), True)))
 
-    k, s = kind(e), seed(unit(e))
-    code = F.when(e.startswith("+"), F.length(F.regexp_extract(e, r"^\+(\d{1,3})(?=[ .(-])", 1))).otherwise(0)
-    octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (1 + _random(s, i) % 254).cast("string")), ".")
-    return (
-        F.when(k == "email", _email(e, s, key)).when(k == "key", _poured(e, s, F.when(e.rlike("^A"), 4).otherwise(F.length(F.regexp_extract(e, "^([a-z]+)_", 1)))))
-        .when(k == "ip", octets).when(k == "iban", _iban(e, s)).when(k == "card", _card(e, s)).when(k == "phone", _poured(e, s, code))
-        .when(k == "ssn", _poured(e, s, F.lit(0))).otherwise(F.array_join(F.transform(F.split(e, " "), word), " "))
-    )
+    def of(k: Column, s: Column) -> Column:
+        code = F.when(e.startswith("+"), F.length(F.regexp_extract(e, r"^\+(\d{1,3})(?=[ .(-])", 1))).otherwise(0)
+        octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (1 + _random(s, i) % 254).cast("string")), ".")
+        prefix = F.when(e.rlike("^A"), 4).otherwise(F.length(F.regexp_extract(e, "^([a-z]+)_", 1)))
+        kept = F.when(k == "key", prefix).when(k == "phone", code).otherwise(0)
+        return (
+            F.when(k == "email", _email(e, s, key)).when(k == "ip", octets).when(k == "iban", _iban(e, s)).when(k == "card", _card(e, s))
+            .when(k == "name", F.array_join(F.transform(F.split(e, " "), word), " ")).otherwise(_poured(e, s, kept))
+        )
+
+    return let(kind(e), lambda k: let(seed(unit(e)), lambda s: of(k, s)))
 
 
 def _units(e: Column) -> Column:
@@ -191,10 +209,10 @@ def _units(e: Column) -> Column:
 
 def _drawn(unit_col: Column, example: Column, key: str, attempt: Column) -> Column:
     """The unit that the surrogate of a unit would be."""
-    new = F.when(unit_col.startswith("name:"), _poured(example, F.concat(F.lit(f"{key}|"), unit_col, F.lit("|"), attempt.cast("string")), F.lit(0), True)).otherwise(
-        surrogate(example, key, lambda _: attempt)
-    )
-    return F.when(unit_col.startswith("name:"), F.concat(F.lit("name:"), F.lower(new))).otherwise(unit(new))
+    name = unit_col.startswith("name:")
+    word = _poured(example, F.concat(F.lit(f"{key}|"), unit_col, F.lit("|"), attempt.cast("string")), F.lit(0), True)
+    new = F.when(name, word).otherwise(surrogate(example, key, lambda _: attempt))
+    return let(new, lambda x: F.when(name, F.concat(F.lit("name:"), F.lower(x))).otherwise(unit(x)))
 
 
 def collisions(units: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
