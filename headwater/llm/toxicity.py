@@ -1,7 +1,9 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a step: a hashed word embedding and the final states of a character network (itself bidirectional and gated)
-over the word's bytes; words of over ``LETTERS`` bytes are several steps. All windows of ``WINDOW`` steps, every
+Inputs of a step: the embedding of a word that several documents of the sample share (one embedding for all others) and
+the final states of a character network (itself bidirectional and gated) over the word's bytes; words of over ``LETTERS``
+bytes are several steps. One component of a word's embedding starts at how far its share of toxic documents differs from
+chance, so that a few hundred toxic documents are enough; all of it is trained on. All windows of ``WINDOW`` steps, every
 ``STRIDE`` steps, are scored; attention pools a window's states. The document's logit is that of its highest window,
 calibrated together with the number of windows. Trained in numpy: as labels are those of documents, each round trains on
 the window that scores highest so far. The sample is bounded: ``PER_CLASS`` rows of each label.
@@ -21,10 +23,14 @@ from headwater.llm import words as W
 from headwater.llm.shared import held_out
 
 WINDOW, STRIDE, LETTERS = 24, 12, 16
-WORDS, EMBED, CHARS, HIDDEN, ATTEND = 4096, 8, 6, 8, 8
+VOCABULARY, EMBED, CHARS, HIDDEN, ATTEND = 8192, 8, 6, 8, 8
+#: Words of the vocabulary are in so many documents of the sample; standard deviations from chance below which a word says nothing.
+LEAST_DOCS, CHANCE = 3, 2.5
 #: Bounds of the training sample: rows of each label, and windows a row is cut into at most (spread over the text).
 PER_CLASS, WINDOWS_A_ROW = 1500, 48
 ROUNDS, STEPS, BATCH = 8, 40, 96
+#: Share of words whose characters a training step hides, and of shared words taken as unknown, so that neither input is relied on alone.
+HIDE_CHARS, HIDE_WORDS = 0.5, 0.1
 CUT = 0.3
 
 
@@ -46,9 +52,24 @@ def units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return letters[first], number, offsets
 
 
-def buckets(letters: np.ndarray) -> np.ndarray:
+def keys(letters: np.ndarray) -> np.ndarray:
     half = letters.reshape(-1, 2, 8).copy().view(np.uint64)[..., 0]
-    return (W.mix(W.mix(half[:, 0]) + half[:, 1]) % np.uint64(WORDS)).astype(np.int64)
+    return W.mix(W.mix(half[:, 0]) + half[:, 1])
+
+
+def vocabulary(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted keys, prior): words of ``LEAST_DOCS`` texts, the most frequent first, and their deviation from chance."""
+    text = np.repeat(np.arange(len(y)), np.diff(offsets))
+    pair = np.unique(text * len(letters) + number)
+    docs = [np.bincount(pair[y[pair // len(letters)] == k] % len(letters), minlength=len(letters)) if len(pair) else np.zeros(len(letters), np.int64) for k in (0, 1)]
+    total, key = docs[0] + docs[1], keys(letters)
+    used = np.lexsort((key, -total))[:VOCABULARY]
+    used = used[total[used] >= LEAST_DOCS]
+    used = used[np.argsort(key[used])]
+    n1 = y.sum()
+    n0, share = len(y) - n1, total[used] / len(y)
+    z = (docs[1][used] / n1 - docs[0][used] / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
+    return key[used], np.sign(z) * np.clip(np.abs(z) - CHANCE, 0, 5) / 4
 
 
 def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,16 +82,26 @@ def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, seed: int = 5):
+    def __init__(self, vocab: np.ndarray, prior: np.ndarray, seed: int = 5):
         rng = np.random.default_rng(seed)
+        self.vocab = vocab
         D = EMBED + 2 * CHARS
         self.params = {
-            "letters": N.init(rng, 2, 256, 3 * CHARS), "Uc": N.init(rng, 2, CHARS, 3 * CHARS), "words": N.init(rng, WORDS, EMBED, scale=0.1),
+            "letters": N.init(rng, 2, 256, 3 * CHARS), "Uc": N.init(rng, 2, CHARS, 3 * CHARS), "words": N.init(rng, len(vocab) + 1, EMBED, scale=0.1),
             "W": N.init(rng, 2, D, 3 * HIDDEN, scale=0.3), "b": np.zeros((2, 3 * HIDDEN), N.F32), "U": N.init(rng, 2, HIDDEN, 3 * HIDDEN),
             "A": N.init(rng, 2 * HIDDEN, ATTEND), "a": N.init(rng, ATTEND), "v": N.init(rng, 2 * HIDDEN), "c": np.zeros(1, N.F32),
         }
+        self.params["words"][:, 0] = np.append(prior, 0)
         self.scale = np.array([1.0, 0.0, 0.0])  # of the highest logit, of the log of the windows' number, constant
 
+    def rank(self, letters: np.ndarray) -> np.ndarray:
+        """Row of each unit's embedding; the last is that of all words outside the vocabulary."""
+        key, n = keys(letters), len(self.vocab)
+        if not n:
+            return np.zeros(len(letters), np.int64)
+        place = np.minimum(np.searchsorted(self.vocab, key), n - 1)
+        return np.where(self.vocab[place] == key, place, n)
+
     # Characters.
 
     @staticmethod
@@ -98,7 +129,7 @@ class Model:
                 x = np.stack([table[k].take(sides[t, k, :n], 1) for k in (0, 1)])
                 final[:, :, :n] = N.step(final[:, :, :n].copy(), x, Ut)
             features = np.empty((EMBED + 2 * CHARS, len(own)), N.F32)
-            features[:EMBED] = p["words"].T[:, buckets(own)]
+            features[:EMBED] = p["words"].T[:, self.rank(own)]
             features[EMBED:, order] = final.reshape(2 * CHARS, -1)
             for k in (0, 1):
                 out[k, :, low : low + len(own)] = p["W"][k].T @ features + p["b"][k][:, None]
@@ -133,7 +164,7 @@ class Model:
 
     # Training.
 
-    def step(self, adam: N.Adam, letters: np.ndarray, unit: np.ndarray, there: np.ndarray, y: np.ndarray) -> None:
+    def step(self, adam: N.Adam, rng: np.random.Generator, letters: np.ndarray, unit: np.ndarray, there: np.ndarray, y: np.ndarray) -> None:
         """One gradient step on windows: units (WINDOW, B) into ``letters``, whose last row is the padding."""
         p = self.params
         used, inverse = np.unique(unit, return_inverse=True)
@@ -142,9 +173,10 @@ class Model:
         mask = (np.arange(LETTERS)[:, None] < size)[:, None, :, None].astype(N.F32)
         gc = np.stack([p["letters"][k][sides[:, k]] for k in (0, 1)], 1)
         cs, ccache = N.forward(gc, p["Uc"], mask)
-        bucket = buckets(own)
+        row = np.where(rng.random(len(own)) < HIDE_WORDS, len(self.vocab), self.rank(own))
+        shown = (rng.random((len(own), 1)) >= HIDE_CHARS) / N.F32(1 - HIDE_CHARS)
         real = (size > 0)[:, None]
-        features = np.concatenate([p["words"][bucket], cs[-1, 0], cs[-1, 1]], 1) * real
+        features = np.concatenate([p["words"][row], cs[-1, 0] * shown, cs[-1, 1] * shown], 1) * real
         inverse = inverse.reshape(unit.shape)
         x = features[inverse]
         both = np.stack([x, x[::-1]], 1)
@@ -164,12 +196,12 @@ class Model:
         dx = dgx[:, 0] @ p["W"][0].T + (dgx[:, 1] @ p["W"][1].T)[::-1]
         df = N.scatter(inverse, dx, len(used)) * real
         dcs = np.zeros_like(cs)
-        dcs[-1, 0], dcs[-1, 1] = df[:, EMBED : EMBED + CHARS], df[:, EMBED + CHARS :]
+        dcs[-1, 0], dcs[-1, 1] = df[:, EMBED : EMBED + CHARS] * shown, df[:, EMBED + CHARS :] * shown
         dgc, dUc = N.backward(dcs, ccache, p["Uc"], mask)
         dgc *= mask
         adam.step({
             "letters": np.stack([N.scatter(sides[:, k].astype(np.int64), dgc[:, k], 256) for k in (0, 1)]), "Uc": dUc,
-            "words": N.scatter(bucket, df[:, :EMBED], WORDS), "W": dW, "b": dgx.sum((0, 2)), "U": dU,
+            "words": N.scatter(row, df[:, :EMBED], len(self.vocab) + 1), "W": dW, "b": dgx.sum((0, 2)), "U": dU,
             "A": np.einsum("tbh,tba->ha", h, du), "a": (ds[..., None] * u).sum((0, 1)), "v": ((w * d)[..., None] * h).sum((0, 1)), "c": d.sum(keepdims=True),
         })
 
@@ -193,8 +225,10 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     y = np.array([k for _, k in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return None
-    model, rng = Model(), np.random.default_rng(13)
+    rng = np.random.default_rng(13)
     letters, number, offsets = units(pa.array([t or "" for t, _ in rows]))
+    vocab, prior = vocabulary(letters, number, offsets, y)
+    model = Model(vocab, prior)
     start, text = cut(offsets)
     total = np.bincount(text, minlength=len(rows))
     rank = np.arange(len(text)) - np.repeat(np.cumsum(total) - total, total)
@@ -203,14 +237,13 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     end = offsets[1:][text]
     padded = np.concatenate([letters, np.zeros((1, LETTERS), np.uint8)])
     adam = N.Adam(model.params, 0.012)
-    windows = np.bincount(text, minlength=len(rows))
+    before = np.concatenate([[0], np.cumsum(np.append(prior, 0)[model.rank(letters)][number])])
+    hint = before[np.minimum(start + WINDOW, end)] - before[start]
     for r in range(ROUNDS):
         adam.rate = 0.016 * 0.8**r
-        logit = model.logits(letters, number, start, end) if r else rng.normal(size=len(start))
+        logit = model.logits(letters, number, start, end) if r else hint
         order = np.lexsort((-logit, text))
         top = order[np.concatenate([[True], np.diff(text[order]) != 0])] if len(order) else order
-        if r < 2:  # short texts first: their label is that of nearly every window
-            top = top[windows[text[top]] <= (6, 16)[r]] if (windows[text[top]] <= 6).sum() > 50 else top
         high, low = top[y[text[top]] == 1], top[y[text[top]] == 0]
         spare = np.flatnonzero(y[text] == 0)
         for _ in range(STEPS):  # both labels alike, and as many steps whatever the sample's size
@@ -219,7 +252,7 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
             place = start[b] + np.arange(WINDOW)[:, None]
             there = place < end[b]
             unit = np.where(there, number[np.minimum(place, len(number) - 1)], len(letters))
-            model.step(adam, padded, unit, there, y[text[b]])
+            model.step(adam, rng, padded, unit, there, y[text[b]])
     # Calibration on the documents of the sample, weighted to the true share.
     logit = model.logits(letters, number, start, end)
     high = np.full(len(rows), model.empty)

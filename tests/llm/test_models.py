@@ -4,7 +4,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-import pytest
 from pyspark.sql import functions as F
 
 from headwater.llm import language, neural, toxicity
@@ -55,6 +54,21 @@ def test_windows_cover_every_byte_and_unit():
     assert offsets.tolist() == [0, 4, 4, 5] and number[0] == number[4] and (letters != 0).sum() == 2 + 16 + 8
 
 
+def test_vocabulary_against_brute_force():
+    texts = ["bad day", "bad bad luck", "bad day", "good day", "good luck", "good day", ""]
+    y = np.array([1, 1, 1, 0, 0, 0, 0])
+    letters, number, offsets = toxicity.units(pa.array(texts))
+    vocab, prior = toxicity.vocabulary(letters, number, offsets, y)
+    names = [bytes(x[x > 0]).decode() for x in letters]
+    of = {int(k): n for k, n in zip(toxicity.keys(letters), names)}
+    docs = {n: sum(n in t.split() for t in texts) for n in names}
+    assert sorted(of[int(k)] for k in vocab) == sorted(n for n in names if docs[n] >= toxicity.LEAST_DOCS) and (np.diff(vocab.astype(object)) > 0).all()
+    z = {n: 1 / np.sqrt(docs[n] / 7 * (1 - docs[n] / 7) * (1 / 3 + 1 / 4)) * (sum(n in t.split() for t in texts[:3]) / 3 - sum(n in t.split() for t in texts[3:]) / 4) for n in docs}
+    for k, p in zip(vocab, prior):
+        v = z[of[int(k)]]
+        assert np.isclose(p, np.sign(v) * min(5, max(0, abs(v) - toxicity.CHANCE)) / 4)
+
+
 def test_scores_do_not_depend_on_the_batch(spark):
     model = toxicity.train([(f"fine words here {i}", 0) for i in range(80)] + [(f"you awful fool {i}", 1) for i in range(80)], 0.5)
     texts = ["fine words here", "you awful fool", "", "x " * 200]
@@ -72,7 +86,6 @@ def test_held_out_language(spark):
     assert np.mean([lang[r["doc_id"]] == r["lang_pred"] for r in held]) > 0.95 and all(0 <= r["score"] <= 1 for r in rows)
 
 
-@pytest.mark.xfail(reason="known shortfall: 0.64 was measured with the 300 toxic rows that sf0.1 has to learn from (0.995 with 1,500); README", strict=False)
 def test_held_out_toxicity(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "labels"))
     toxic = {r["doc_id"]: r["toxic"] for r in labels.collect()}
