@@ -106,9 +106,12 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 RUN = 256
 
 
-def with_next(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
+def with_next(rows: DataFrame, key: str, values: list[str], derived: dict[str, Column] | None = None) -> DataFrame:
     """Each row with the ``values`` of the row of the next lower key, as next_<name>; after the least comes the greatest.
 
+    Columns ``derived`` from a row are added and carried likewise; they are computed once a row, after the join that
+    picks the rows to send.
+
     Keys are dealt to runs of ``RUN`` consecutive numbers, and the greatest row of each run is also sent to the run
     above, so no task orders all rows. Only the greatest keys of the runs, one long each, are ordered in two steps.
     Rows with equal keys follow each other in the order of a hash of their values; a null key has no next row.
@@ -125,10 +128,13 @@ def with_next(rows: DataFrame, key: str, values: list[str]) -> DataFrame:
     from headwater.llm.shared import bounded
 
     sent = rows.join(bounded(target), key).withColumn("_run", F.col("_to")).drop("_to").withColumn("_sent", F.lit(True))
-    both = keyed.withColumn("_sent", F.lit(False)).unionByName(sent)
+    derived = derived or {}
+    carried = [*values, *derived]
+    both = keyed.withColumn("_sent", F.lit(False)).unionByName(sent).withColumns(derived)
     w = Window.partitionBy("_run").orderBy("_sent", F.desc(key), F.xxhash64(*values))
-    linked = both.select("*", *[F.lead(v).over(w).alias(f"next_{v}") for v in values]).where("not _sent").drop("_run", "_sent")
-    lone = rows.where(F.col(key).isNull()).select("*", *[F.lit(None).cast(rows.schema[v].dataType).alias(f"next_{v}") for v in values])
+    linked = both.select("*", *[F.lead(v).over(w).alias(f"next_{v}") for v in carried]).where("not _sent").drop("_run", "_sent")
+    lone = rows.where(F.col(key).isNull()).withColumns(derived)
+    lone = lone.select("*", *[F.lit(None).cast(lone.schema[v].dataType).alias(f"next_{v}") for v in carried])
     return linked.unionByName(lone)
 
 
@@ -140,7 +146,7 @@ def compare_edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     its own next. An empty table gives none.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    linked = with_next(rows.withColumn("sig", signature(F.col("text"))), "doc_id", ["text", "sig"])
+    linked = with_next(rows, "doc_id", ["text"], {"sig": signature(F.col("text"))})
     n = F.char_length("text")
     third = F.floor(n / 3).cast("int")
     edited = linked.select(
