@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
-Inputs of a step: the embedding of a word that several documents of the sample share (one embedding for all others) and
-the final states of a character network (itself bidirectional and gated) over the word's bytes; words of over ``LETTERS``
+Inputs of a step: the mean of the embeddings of a word and of its beginnings that several documents of the sample share
+(one embedding for all others) and the final states of a character network (itself bidirectional and gated) over the word's bytes; words of over ``LETTERS``
 bytes are several steps. One component of a word's embedding starts at how far its share of toxic documents differs from
 chance, so that a few hundred toxic documents are enough; all of it is trained on. All windows of ``WINDOW`` steps, every
 ``STRIDE`` steps, are scored; attention pools a window's states. The document's logit is that of its highest window,
@@ -26,6 +26,8 @@ WINDOW, STRIDE, LETTERS = 24, 12, 16
 VOCABULARY, EMBED, CHARS, HIDDEN, ATTEND = 8192, 8, 6, 8, 8
 #: Words of the vocabulary are in so many documents of the sample; standard deviations from chance below which a word says nothing.
 LEAST_DOCS, CHANCE = 3, 2.5
+#: Bytes of a unit's beginnings that have an embedding too, so that inflected and compound forms share what their stem says.
+STEMS = (4, 6, 8)
 #: Bounds of the training sample: rows of each label, and windows a row is cut into at most (spread over the text).
 PER_CLASS, WINDOWS_A_ROW = 1500, 48
 ROUNDS, STEPS, BATCH = 8, 40, 96
@@ -72,6 +74,21 @@ def vocabulary(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray, y:
     return key[used], np.sign(z) * np.clip(np.abs(z) - CHANCE, 0, 5) / 4
 
 
+def stems(letters: np.ndarray, size: int) -> np.ndarray:
+    """The first ``size`` bytes of each unit."""
+    return letters * (np.arange(LETTERS) < size)
+
+
+def vocabularies(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """``vocabulary`` of the whole units, then of the stems of each length."""
+    out = [vocabulary(letters, number, offsets, y)]
+    for size in STEMS:
+        own = stems(letters, size)
+        _, first, inverse = np.unique(keys(own), return_index=True, return_inverse=True)
+        out.append(vocabulary(own[first], inverse[number], offsets, y))
+    return out
+
+
 def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(first unit, text) of every window; a text with units has one at least, and the last reaches its end."""
     n = np.diff(offsets)
@@ -82,25 +99,28 @@ def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, vocab: np.ndarray, prior: np.ndarray, seed: int = 5):
+    def __init__(self, vocabs: list[tuple[np.ndarray, np.ndarray]], seed: int = 5):
+        """``vocabs``: (sorted keys, prior) of the whole units and of the stems of each length."""
         rng = np.random.default_rng(seed)
-        self.vocab = vocab
+        self.vocabs = [v for v, _ in vocabs]
+        self.offsets = np.cumsum([0, *(len(v) + 1 for v in self.vocabs)])
         D = EMBED + 2 * CHARS
         self.params = {
-            "letters": N.init(rng, 2, 256, 3 * CHARS), "Uc": N.init(rng, 2, CHARS, 3 * CHARS), "words": N.init(rng, len(vocab) + 1, EMBED, scale=0.1),
+            "letters": N.init(rng, 2, 256, 3 * CHARS), "Uc": N.init(rng, 2, CHARS, 3 * CHARS), "words": N.init(rng, self.offsets[-1], EMBED, scale=0.1),
             "W": N.init(rng, 2, D, 3 * HIDDEN, scale=0.3), "b": np.zeros((2, 3 * HIDDEN), N.F32), "U": N.init(rng, 2, HIDDEN, 3 * HIDDEN),
             "A": N.init(rng, 2 * HIDDEN, ATTEND), "a": N.init(rng, ATTEND), "v": N.init(rng, 2 * HIDDEN), "c": np.zeros(1, N.F32),
         }
-        self.params["words"][:, 0] = np.append(prior, 0)
+        self.params["words"][:, 0] = np.concatenate([np.append(prior, 0) for _, prior in vocabs])
         self.scale = np.array([1.0, 0.0, 0.0])  # of the highest logit, of the log of the windows' number, constant
 
     def rank(self, letters: np.ndarray) -> np.ndarray:
-        """Row of each unit's embedding; the last is that of all words outside the vocabulary."""
-        key, n = keys(letters), len(self.vocab)
-        if not n:
-            return np.zeros(len(letters), np.int64)
-        place = np.minimum(np.searchsorted(self.vocab, key), n - 1)
-        return np.where(self.vocab[place] == key, place, n)
+        """(units, 1 + stems): rows of the embeddings whose mean a unit has; each level's last is that of all it doesn't know."""
+        out = np.empty((len(letters), len(self.vocabs)), np.int64)
+        for level, (vocab, own) in enumerate(zip(self.vocabs, (letters, *(stems(letters, k) for k in STEMS)), strict=True)):
+            key, n = keys(own), len(vocab)
+            place = np.minimum(np.searchsorted(vocab, key), max(n - 1, 0))
+            out[:, level] = self.offsets[level] + (np.where(vocab[place] == key, place, n) if n else 0)
+        return out
 
     # Characters.
 
@@ -129,7 +149,7 @@ class Model:
                 x = np.stack([table[k].take(sides[t, k, :n], 1) for k in (0, 1)])
                 final[:, :, :n] = N.step(final[:, :, :n].copy(), x, Ut)
             features = np.empty((EMBED + 2 * CHARS, len(own)), N.F32)
-            features[:EMBED] = p["words"].T[:, self.rank(own)]
+            features[:EMBED] = p["words"][self.rank(own)].mean(1).T
             features[EMBED:, order] = final.reshape(2 * CHARS, -1)
             for k in (0, 1):
                 out[k, :, low : low + len(own)] = p["W"][k].T @ features + p["b"][k][:, None]
@@ -173,10 +193,10 @@ class Model:
         mask = (np.arange(LETTERS)[:, None] < size)[:, None, :, None].astype(N.F32)
         gc = np.stack([p["letters"][k][sides[:, k]] for k in (0, 1)], 1)
         cs, ccache = N.forward(gc, p["Uc"], mask)
-        row = np.where(rng.random(len(own)) < HIDE_WORDS, len(self.vocab), self.rank(own))
+        row = np.where(rng.random((len(own), 1 + len(STEMS))) < HIDE_WORDS, self.offsets[1:] - 1, self.rank(own))
         shown = (rng.random((len(own), 1)) >= HIDE_CHARS) / N.F32(1 - HIDE_CHARS)
         real = (size > 0)[:, None]
-        features = np.concatenate([p["words"][row], cs[-1, 0] * shown, cs[-1, 1] * shown], 1) * real
+        features = np.concatenate([p["words"][row].mean(1), cs[-1, 0] * shown, cs[-1, 1] * shown], 1) * real
         inverse = inverse.reshape(unit.shape)
         x = features[inverse]
         both = np.stack([x, x[::-1]], 1)
@@ -201,7 +221,7 @@ class Model:
         dgc *= mask
         adam.step({
             "letters": np.stack([N.scatter(sides[:, k].astype(np.int64), dgc[:, k], 256) for k in (0, 1)]), "Uc": dUc,
-            "words": N.scatter(row, df[:, :EMBED], len(self.vocab) + 1), "W": dW, "b": dgx.sum((0, 2)), "U": dU,
+            "words": N.scatter(row, np.repeat(df[:, :EMBED] / row.shape[1], row.shape[1], 0), self.offsets[-1]), "W": dW, "b": dgx.sum((0, 2)), "U": dU,
             "A": np.einsum("tbh,tba->ha", h, du), "a": (ds[..., None] * u).sum((0, 1)), "v": ((w * d)[..., None] * h).sum((0, 1)), "c": d.sum(keepdims=True),
         })
 
@@ -227,8 +247,7 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
         return None
     rng = np.random.default_rng(13)
     letters, number, offsets = units(pa.array([t or "" for t, _ in rows]))
-    vocab, prior = vocabulary(letters, number, offsets, y)
-    model = Model(vocab, prior)
+    model = Model(vocabularies(letters, number, offsets, y))
     start, text = cut(offsets)
     total = np.bincount(text, minlength=len(rows))
     rank = np.arange(len(text)) - np.repeat(np.cumsum(total) - total, total)
@@ -237,7 +256,7 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     end = offsets[1:][text]
     padded = np.concatenate([letters, np.zeros((1, LETTERS), np.uint8)])
     adam = N.Adam(model.params, 0.012)
-    before = np.concatenate([[0], np.cumsum(np.append(prior, 0)[model.rank(letters)][number])])
+    before = np.concatenate([[0], np.cumsum(model.params["words"][:, 0][model.rank(letters)].mean(1)[number])])
     hint = before[np.minimum(start + WINDOW, end)] - before[start]
     for r in range(ROUNDS):
         adam.rate = 0.016 * 0.8**r
