@@ -1,9 +1,11 @@
 """Substring deduplication by sliding sentence spans.
 
-Sentences end at . ! ? or a line break; one of more than twelve words counts as several, cut every twelve words. From
-each sentence on, the shortest run of at least two sentences and sixteen words is hashed (128 bits). Each document
-sends every distinct run once; a run that more documents have is kept by the least id and is repeated in the others,
-as is any later place of a run in its own document. Sentences that repeated runs cover are removed.
+Sentences end at . ! ? or a line break; one of more than twelve words counts as several. It is cut before words whose
+hash is the least among the ``REACH`` words on either side, so that an edit or another beginning of the sentence moves
+few cuts, and from each such cut on, until the next, every twelve words. From each sentence on, the shortest run of at
+least two sentences and sixteen words is hashed (128 bits). Each document sends every distinct run once; a run that more
+documents have is kept by the least id and is repeated in the others, as is any later place of a run in its own
+document. Sentences that repeated runs cover are removed.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from headwater.llm import words as W
 
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 16, 12
+REACH = 4
 
 _STOP = np.zeros(256, np.uint8)
 _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = 1
@@ -34,8 +37,15 @@ def _runs(texts: pa.Array):
     new[w.offsets[:-1][np.diff(w.offsets) > 0]] = True
     new[1:] |= stops[w.start[1:]] > stops[w.end[:-1]]
     first = np.flatnonzero(new)
-    inside = np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))
-    new |= inside % LONGEST == 0
+    sizes = np.diff(np.append(first, n))
+    inside, size = np.arange(n) - np.repeat(first, sizes), np.repeat(sizes, sizes)
+    least = (size > LONGEST) & (inside >= REACH)
+    for k in range(1, REACH + 1):
+        least[k:] &= w.hash[k:] < w.hash[:-k]
+        least[:-k] &= (w.hash[:-k] <= w.hash[k:]) | (inside[:-k] + k >= size[:-k])
+    new |= least
+    first = np.flatnonzero(new)
+    new |= (np.arange(n) - np.repeat(first, np.diff(np.append(first, n)))) % LONGEST == 0
     first = np.flatnonzero(new)  # word with which a sentence begins
     offsets = np.searchsorted(first, w.offsets)
     edges = np.append(first, n)

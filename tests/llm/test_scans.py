@@ -163,12 +163,16 @@ def test_templates_are_found(spark):
 def sentences(text):
     """(sentences with what follows each, their words) in plain Python."""
     words = [(m.start(), m.end(), m[0]) for m in WORD.finditer(ascii_lower(text))]
-    starts, inside = [], 0
-    for i, (s, _, _) in enumerate(words):
-        new = i == 0 or re.search(r"[.!?\n\r]", text[words[i - 1][1] : s]) is not None
-        inside = 0 if new else inside + 1
-        if inside % 12 == 0:
-            starts.append(i)
+    h = W.words(pa.array([text]), ascii_only=True).hash.tolist()
+    begins = [i for i, (s, _, _) in enumerate(words) if i == 0 or re.search(r"[.!?\n\r]", text[words[i - 1][1] : s])]
+    starts = []
+    for a, b in zip(begins, [*begins[1:], len(words)]):
+        last = a
+        for i in range(a, b):
+            if b - a > 12 and i - a >= 4 and h[i] < min(h[i - 4 : i]) and h[i] <= min(h[i : min(i + 5, b)]):
+                last = i
+            if (i - last) % 12 == 0:
+                starts.append(i)
     return words, starts
 
 
@@ -213,6 +217,14 @@ def test_spans_against_brute_force(spark):
     assert spans.dedup_spans(docs_of(spark, [(None, passages[0]), (None, passages[0])])).where("n_removed > 0").count() == 0
 
 
+def test_an_edit_inside_a_long_sentence_moves_few_cuts(spark):
+    rnd = random.Random(3)
+    words = [f"w{rnd.randrange(10**6)}" for _ in range(300)]
+    docs = [(1, " ".join(words)), (2, " ".join(["fresh", *words[:5], *words[6:]])), (3, "other words before " + " ".join(words[100:180])), (4, " ".join(f"z{i}" for i in range(90)))]
+    got = {r["doc_id"]: r["text"].split() for r in spans.dedup_spans(docs_of(spark, docs)).collect()}
+    assert got[1] == words and len(got[4]) == 90 and len(got[2]) < 30 and len(got[3]) < 35
+
+
 # BPE.
 
 
