@@ -179,24 +179,37 @@ def clip_box(spark: SparkSession, d: str) -> DataFrame:
     return integrity.clip(table(spark, d, "lineitem"), "l_extendedprice", "l_quantity", (1000.0, 20000.0, 10.0, None)).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _edges(spark: SparkSession, d: str) -> DataFrame:
-    """Nation graph: customer's nation to supplier's nation of a lineitem, thinned; the cost is the least quantity."""
-    l = table(spark, d, "lineitem").where("l_partkey % 50 = 0").select("l_orderkey", "l_suppkey", "l_quantity")
+def _edges(spark: SparkSession, d: str, thinned: bool) -> DataFrame:
+    """Nation graph: customer's nation to supplier's nation of a lineitem; the cost is the least quantity.
+
+    Thinned as in ``_EDGES``, the graph is that of some 0.5 % of the rows.
+    """
+    l = table(spark, d, "lineitem").where("l_partkey % 50 = 0" if thinned else "true").select("l_orderkey", "l_suppkey", "l_quantity")
     o = table(spark, d, "orders").select("o_orderkey", "o_custkey")
     c = table(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
-    s = table(spark, d, "supplier").where("s_suppkey % 4 = 0").select("s_suppkey", F.col("s_nationkey").alias("dst"))
+    s = table(spark, d, "supplier").where("s_suppkey % 4 = 0" if thinned else "true").select("s_suppkey", F.col("s_nationkey").alias("dst"))
     joined = l.join(o, l["l_orderkey"] == o["o_orderkey"]).join(c, F.col("o_custkey") == F.col("c_custkey")).join(s, F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.groupBy("src", "dst").agg(F.min("l_quantity").alias("cost"))
 
 
 def reach_hops(spark: SparkSession, d: str) -> DataFrame:
-    """Fewest hops from nation 0, up to three."""
-    return network.reach(_edges(spark, d), spark.createDataFrame([(0,)], "node int"), 3)
+    """Fewest hops from nation 0, up to three, over the thinned graph."""
+    return network.reach(_edges(spark, d, True), spark.createDataFrame([(0,)], "node int"), 3)
 
 
 def cheapest_path(spark: SparkSession, d: str) -> DataFrame:
-    """D5 (Dijkstra's answer): least cost from nation 0."""
-    return network.cheapest_paths(_edges(spark, d), spark.createDataFrame([(0,)], "node int"))
+    """D5 (Dijkstra's answer): least cost from nation 0, over the thinned graph."""
+    return network.cheapest_paths(_edges(spark, d, True), spark.createDataFrame([(0,)], "node int"))
+
+
+def reach_hops_whole(spark: SparkSession, d: str) -> DataFrame:
+    """D4 over all rows."""
+    return network.reach(_edges(spark, d, False), spark.createDataFrame([(0,)], "node int"), 3)
+
+
+def cheapest_path_whole(spark: SparkSession, d: str) -> DataFrame:
+    """D5 over all rows."""
+    return network.cheapest_paths(_edges(spark, d, False), spark.createDataFrame([(0,)], "node int"))
 
 
 def seeded_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -208,6 +221,8 @@ _SC = "(VALUES ('S0', true, CAST(NULL AS DOUBLE)), ('S1', false, 0.05), ('S2', f
 _ALL = " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in INVENTORY)
 _EDGES = """edges AS (SELECT c_nationkey AS src, s_nationkey AS dst, min(l_quantity) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_partkey % 50 = 0 AND s_suppkey % 4 = 0 GROUP BY 1, 2)"""
+_WHOLE = """edges AS (SELECT c_nationkey AS src, s_nationkey AS dst, min(l_quantity) AS cost FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+  JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1, 2)"""
 
 SQL: dict[str, str] = {
     "inventory_counts": f"SELECT v.name, coalesce(t.n, 0) AS n, t.n IS NOT NULL AS present FROM (SELECT unnest([{', '.join(repr(n) for n in (*INVENTORY, 'missing'))}]) AS name) v LEFT JOIN ({_ALL}) t ON v.name = t.name",
@@ -244,6 +259,10 @@ SQL: dict[str, str] = {
       SELECT node, min(hops) AS hops FROM r GROUP BY 1""",
     "cheapest_path": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 0 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops UNION SELECT dst, r.cost + e.cost, hops + 1 FROM r JOIN edges e ON node = src WHERE hops < 6)
       SELECT node, min(cost) AS cost FROM r GROUP BY 1""",
+    "reach_hops_whole": f"""WITH RECURSIVE {_WHOLE}, r AS (SELECT 0 AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM r JOIN edges ON node = src WHERE hops < 3)
+      SELECT node, min(hops) AS hops FROM r GROUP BY 1""",
+    "cheapest_path_whole": f"""WITH RECURSIVE {_WHOLE}, r AS (SELECT 0 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops UNION SELECT dst, r.cost + e.cost, hops + 1 FROM r JOIN edges e ON node = src WHERE hops < 6)
+      SELECT node, min(cost) AS cost FROM r GROUP BY 1""",
     "seeded_sample": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT 25",
 }
 
