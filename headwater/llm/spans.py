@@ -4,8 +4,10 @@ Sentences end at . ! ? or a line break; one of more than twelve words counts as
 hash is the least among the ``REACH`` words on either side, so that an edit or another beginning of the sentence moves
 few cuts, and from each such cut on, until the next, every twelve words. From each sentence on, the shortest run of at
 least two sentences and sixteen words is hashed (128 bits). Each document sends every distinct run once; a run that more
-documents have is kept by the least id and is repeated in the others, as is any later place of a run in its own
+documents have is kept by the least key and is repeated in the others, as is any later place of a run in its own
 document. Sentences that repeated runs cover are removed.
+
+A document's key is its id, followed by a hash of its text where the id is null or comes with different texts.
 """
 
 from __future__ import annotations
@@ -18,13 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
+from headwater.llm.shared import bounded, cut
 
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 16, 12
 REACH = 4
 
 _STOP = np.zeros(256, np.uint8)
 _STOP[[0x0A, 0x0D, 0x21, 0x2E, 0x3F]] = 1
-_NO_ID = 2**63 - 1
+#: Keys: id (a null one: one more than the greatest) times _TEXTS, plus what tells texts of that id apart.
+_KEY, _TEXTS, _NO_ID = "decimal(38,0)", 2**62, 2**63
 
 
 def _runs(texts: pa.Array):
@@ -68,15 +72,15 @@ def _runs(texts: pa.Array):
 def _spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for piece in W.pieces(batch, "text"):
-            ids = piece.column("id").to_numpy()
+            keys = piece.column("key")
             _, _, offsets, h1, h2, size = _runs(W.as_strings(piece.column("text")))
-            doc = np.repeat(np.arange(len(ids)), np.diff(offsets))
+            doc = np.repeat(np.arange(len(keys)), np.diff(offsets))
             place = np.arange(len(h1)) - offsets[:-1][doc]
             keep = size > 0
             rows = np.flatnonzero(keep)
             _, one = np.unique(np.stack([doc[rows], h1[rows], h2[rows]]), axis=1, return_index=True) if len(rows) else (None, rows)
             rows = rows[one]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h1[rows], h2[rows], ids[doc[rows]], place[rows].astype(np.int32))], ["h1", "h2", "id", "place"])
+            yield pa.RecordBatch.from_arrays([pa.array(h1[rows]), pa.array(h2[rows]), keys.take(pa.array(doc[rows])), pa.array(place[rows].astype(np.int32))], ["h1", "h2", "key", "place"])
 
 
 def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,16 +112,31 @@ def _rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(removed, pa.int64())], ["doc_id", "text", "n_sentences", "n_removed"])
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc_id, key, text): the key is one for each distinct id and text, in order of ids, null ids last.
+
+    Ids with different texts are looked for first, so that keys of all others end in zeros, which shuffle small.
+    """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    hashed = source.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("h"))
+    several = cut(hashed.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).where("low < high").select("doc_id", F.lit(True).alias("several")))
+    rank = F.coalesce(F.col("doc_id").cast("decimal(20,0)"), F.lit(str(_NO_ID)).cast("decimal(20,0)"))
+    own = F.when(F.col("several") | F.col("doc_id").isNull(), F.shiftrightunsigned(F.xxhash64("text"), 2)).otherwise(F.lit(0))
+    key = rank * F.lit(str(_TEXTS)).cast("decimal(19,0)") + own.cast("decimal(19,0)")
+    return source.join(bounded(several), "doc_id", "left").select("doc_id", key.cast(_KEY).alias("key"), "text")
+
+
 def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text without repeated sentences, n_sentences, n_removed), one row per row of ``docs``.
 
-    The first place of a run is in the document with the least id. Rows that share an id count as one document (the
-    same text twice under one id is not a repeat); null ids come last and count as one document. Null text: empty.
+    The first place of a run is in the document with the least id. Rows that share an id and the text count as one
+    document (the same text twice under one id is not a repeat); different texts of an id are documents of their own,
+    in order of their hashes, and so are those of null ids, which come last. Null text: empty.
     Texts under two sentences or sixteen words have no runs and stay as they are. An empty table gives none.
     Common runs are pre-aggregated before the shuffle; the join back is left to AQE's splitting of hot keys.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"))
-    spans = source.select("id", "text").mapInArrow(_spans, "h1 long, h2 long, id long, place int")
-    first = spans.groupBy("h1", "h2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("h1", "h2", "least")
-    places = spans.join(first, ["h1", "h2"]).where("id > least").groupBy("id").agg(F.collect_set("place").alias("places"))
-    return source.join(places, "id", "left").mapInArrow(_rebuild, "doc_id long, text string, n_sentences long, n_removed long")
+    source = _keyed(docs, id_col, text_col)
+    spans = source.select("key", "text").mapInArrow(_spans, f"h1 long, h2 long, key {_KEY}, place int")
+    first = spans.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h1", "h2", "least")
+    places = spans.join(first, ["h1", "h2"]).where("key > least").groupBy("key").agg(F.collect_set("place").alias("places"))
+    return source.join(places, "key", "left").mapInArrow(_rebuild, "doc_id long, text string, n_sentences long, n_removed long")

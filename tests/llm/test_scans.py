@@ -225,6 +225,21 @@ def test_an_edit_inside_a_long_sentence_moves_few_cuts(spark):
     assert got[1] == words and len(got[4]) == 90 and len(got[2]) < 30 and len(got[3]) < 35
 
 
+def test_texts_without_an_id_of_their_own_are_documents(spark):
+    """Null ids and repeated ids: a repeat is found between any two texts, and each text loses only its own sentences."""
+    say = lambda name: "".join(f"{name}{i} " * 9 + ". " for i in range(4))
+    passage, again, lone = say("p"), say("q"), say("r")
+    null = {"short": (None, "Alone. " + passage), "long": (None, say("s") + say("t") + say("u")), "a": (None, say("v") + again), "b": (None, again)}
+    same = {"x": (7, say("x") + passage), "y": (7, say("y") + say("z") + say("w")), "m": (8, say("m") + lone), "n": (8, say("n") + say("o") + lone)}
+    rows = [(1, passage), *null.values(), *same.values()]
+    got = {(r["doc_id"], r["n_sentences"], r["text"]) for r in spans.dedup_spans(docs_of(spark, rows)).collect()}
+    left = {t for _, _, t in got}
+    assert len(got) == len(rows) and passage in left and null["long"][1] in left and same["y"][1] in left
+    assert "Alone. " in left and say("x") in left
+    assert sum(again in t for t in left) == 1 and sum(lone in t for t in left) == 1
+    assert {(d, t) for d, _, t in got if "s1 " in t or "y1 " in t} == {null["long"], same["y"]}
+
+
 # BPE.
 
 
