@@ -19,7 +19,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
-from headwater.llm.shared import bounded, cut
 
 THRESHOLD = 0.8
 RADIUS = 19
@@ -144,6 +143,19 @@ def _scan(index):
     return scan
 
 
+def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Index]:
+    """The items in blocks of at most ``ITEMS``."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null")
+    total = items.count()
+    blocks = max(1, -(-total // (ITEMS // 2)))  # hash blocks come out uneven
+    for b in range(blocks):
+        rows = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()]
+        for at in range(0, len(rows), ITEMS):
+            index = Index(rows[at : at + ITEMS])
+            if index.ids:
+                yield index
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, similarity, first_word, last_word): the best window of each document and item that match.
 
@@ -154,21 +166,30 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null")
-    total = items.count()
-    blocks = max(1, -(-total // (ITEMS // 2)))  # hash blocks come out uneven
     schema, out = "doc_id long, item_id long, similarity double, first_word long, last_word long", None
-    for b in range(blocks):
-        rows = [(r["i"], r["t"]) for r in items.where(F.pmod(F.xxhash64("i"), F.lit(blocks)) == b).toLocalIterator()]
-        for at in range(0, len(rows), ITEMS):
-            index = Index(rows[at : at + ITEMS])
-            if index.ids:
-                found = source.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
-                out = found if out is None else out.unionByName(found)
+    for index in _indexes(benchmark, item_col, item_text):
+        found = source.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
+        out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
 
+def _without(index, text_col: str):
+    scan = _scan(index)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.RecordBatch.from_arrays([pa.array(np.arange(batch.num_rows)), batch.column(text_col)], ["id", "text"])
+            ok = np.ones(batch.num_rows, bool)
+            for found in scan(iter([own])):
+                ok[found.column("doc_id").to_numpy()] = False
+            yield batch.filter(pa.array(ok))
+
+    return keep
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Documents in which no benchmark item was found, with all their columns; rows with a null id are kept."""
-    found = cut(find_benchmark(docs, benchmark, id_col, text_col).where("doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct())
-    return docs.join(bounded(found), id_col, "left_anti")
+    """Rows in whose text no benchmark item was found, with all their columns; ids play no part, so null and repeated ones need no care."""
+    out = docs
+    for index in _indexes(benchmark, "item_id", "text"):
+        out = out.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index), text_col), docs.schema)
+    return out

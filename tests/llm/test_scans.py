@@ -102,6 +102,14 @@ def test_many_items_go_in_blocks(spark, monkeypatch):
     assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(i + 100, i) for i in range(15)]
 
 
+def test_rows_without_an_id_of_their_own_are_cleaned(spark):
+    item = " ".join(f"q{j}" for j in range(12))
+    b = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = [(None, "pre " + item), (None, "clean words"), (4, item + " post"), (4, "other clean words"), (None, None)]
+    kept = [(r["doc_id"], r["text"]) for r in decontaminate.keep_clean(docs_of(spark, docs), b).collect()]
+    assert sorted(kept, key=str) == sorted([docs[1], docs[3], docs[4]], key=str)
+
+
 def test_lookup_misses_nothing_within_the_radius():
     rng = np.random.default_rng(1)
     index = decontaminate.Index([(i, " ".join(f"t{i}n{j}" for j in range(30))) for i in range(50)])
