@@ -3,15 +3,16 @@
 Texts become sets of hashed 5-word shingles. Equal sets are one class from the start. Every class has a signature
 of 96 minimum hashes, its embedded tokens. A path starts at each of a few independent runs; a record follows those of
 its tokens whose hash with the path falls under a threshold, so records that share a chosen token share the child.
-Buckets of at most ``LIMIT`` records are brute-forced; larger ones are split again, and where splitting no longer
-helps (near-identical records) or the depth is used up, they are compared block by block, which is exact.
+Buckets of at most ``LIMIT`` records are brute-forced; larger ones are split again. A large bucket that splitting does not
+part, as most of it are near copies of one text, gets a centre (``dense``): the links of its core are counted by their
+differences from the centre, and the core leaves the bucket. What is left at the last depth is compared block by block.
 
 Recall: at similarity s a pair shares each token with chance s, so with a mean of ``BRANCH`` chosen shared tokens at
 s = 0.8 the branching process of one run dies out with chance q = exp(-BRANCH (1 - q)); runs repeat until
 q ** runs <= 1 - TARGET. A pair that meets in several buckets counts in the least of them only.
 
 Links are verified exactly on the shingle sets. Pairs never leave a task: each bucket yields, per record, its number
-of links and the least record that it is connected to.
+of links and the least record that it is connected to. Records are numbered classes, so null and repeated ids do no harm.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from headwater.llm import dense
 from headwater.llm import words as W
-from headwater.llm.shared import bounded, components, cut
+from headwater.llm.dense import matrix as _matrix
+from headwater.llm.shared import bounded, components, cut, fresh
 
 THRESHOLD = 0.8
 TOKENS = 96
@@ -33,7 +36,7 @@ BRANCH = 3.0
 TARGET = 0.999
 LIMIT = 1536
 DEPTH = 3
-#: A child bucket that keeps this share of its parent means near-identical records: splitting stops.
+#: A child bucket that keeps this share of its parent, and still has no centre: splitting stops.
 STUCK = 0.85
 #: Matching tokens that a pair at the threshold has but for a chance under 1e-4 (four standard deviations).
 LEAST_TOKENS = int(TOKENS * THRESHOLD - 4 * math.sqrt(TOKENS * THRESHOLD * (1 - THRESHOLD)))
@@ -70,7 +73,7 @@ def _key(members: np.ndarray) -> tuple[int, int]:
     return int(members.sum().view(np.int64)), int(W.mix(members + np.uint64(len(members))).sum().view(np.int64))
 
 
-_SKETCH = "id long, n long, k1 long, k2 long, sig binary"
+_SKETCH = "id long, h long, n long, k1 long, k2 long, sig binary"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -84,16 +87,11 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k2.append(b)
                 sig.append(_signature(members).tobytes() if len(members) else None)
             yield pa.RecordBatch.from_arrays(
-                [piece.column("id"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())],
-                ["id", "n", "k1", "k2", "sig"],
+                [piece.column("id"), piece.column("h"), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(sig, pa.binary())],
+                ["id", "h", "n", "k1", "k2", "sig"],
             )
 
 
-def _matrix(column, dtype) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
-
-
 def _split(level: int, runs: int):
     """Follow the chosen tokens: from a run's root at level 1, from the record's path below."""
     chance = np.uint64(min(1.0, BRANCH / (THRESHOLD * TOKENS)) * (2**64 - 1))
@@ -125,25 +123,7 @@ def _seen_before(lists: list[np.ndarray], leaf: int) -> np.ndarray:
     flat, row = np.concatenate(lists), np.repeat(np.arange(m), sizes)
     row, flat = row[flat < leaf], flat[flat < leaf]
     values, col, n = np.unique(flat, return_inverse=True, return_counts=True)
-    return _shared(row, col, n, m) > 0
-
-
-def _shared(row: np.ndarray, col: np.ndarray, n: np.ndarray, m: int, chunk: int = 4096) -> np.ndarray:
-    """Number of columns that two rows have in common, from the columns that at least two rows have."""
-    out = np.zeros((m, m), np.float32)
-    keep = n[col] > 1
-    row, col = row[keep], col[keep]
-    rank = np.cumsum(n > 1) - 1
-    col = rank[col]
-    order = np.argsort(col, kind="stable")
-    row, col = row[order], col[order]
-    width = min(chunk, max(64, (1 << 23) // max(m, 1)))
-    for low in range(0, int(col[-1]) + 1 if len(col) else 0, width):
-        i, j = np.searchsorted(col, [low, low + width])
-        a = np.zeros((m, width), np.float32)
-        a[row[i:j], col[i:j] - low] = 1
-        out += a @ a.T
-    return out
+    return dense.shared(row, col, n, m) > 0
 
 
 def _facing(g: pa.Table) -> np.ndarray | None:
@@ -152,29 +132,9 @@ def _facing(g: pa.Table) -> np.ndarray | None:
     return side[:, None] != side[None, :] if g["ci"][0].as_py() != g["cj"][0].as_py() else None
 
 
-def _roots(links: np.ndarray, rep: np.ndarray) -> np.ndarray:
-    """Least record of each record's component within the bucket, by shortcutting minimum labels."""
-    order = np.argsort(rep, kind="stable")
-    label = np.empty(len(rep), np.int64)
-    label[order] = np.arange(len(rep))
-    i, j = np.nonzero(links)
-    while len(i):
-        new = label.copy()
-        np.minimum.at(new, i, label[j])
-        new = np.minimum(new, new[order[new]])
-        if (new == label).all():
-            break
-        label = new
-    return rep[order[label]]
-
-
-def _lists(g: pa.Table) -> list[np.ndarray]:
-    column = g["leaves"].combine_chunks()
-    values, at = column.values.to_numpy(), column.offsets.to_numpy()
-    return [values[at[i] : at[i + 1]] for i in range(len(column))]
-
-
 _CELL = ["leaf", "ci", "cj"]
+_KEPT = [*_CELL, "side", "rep", "n", "copies", "leaves", "core", "centres"]
+_KINDS = "leaf long, ci int, cj int, side int, rep long, n long, copies long, leaves array<long>, core long, centres array<long>"
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -192,41 +152,43 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         facing = _facing(g)
         if facing is not None:
             ok &= facing
+        done = dense.settled(g["core"].to_numpy(), dense.lists(g["centres"]))
+        if done is not None:
+            ok &= ~done
         if not ok.any():
             continue
-        ok &= ~_seen_before(_lists(g), g["leaf"][0].as_py())
+        ok &= ~_seen_before(dense.lists(g["leaves"]), g["leaf"][0].as_py())
         hit = ok.any(1)
         if hit.any():
-            yield from g.select([*_CELL, "side", "rep", "n", "k1", "k2", "copies", "leaves"]).filter(pa.array(hit)).to_batches()
+            yield from g.select(_KEPT).filter(pa.array(hit)).to_batches()
 
 
 def _with_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The shingle sets of the records that are left; a text whose set is another's (a repeated id) is passed over."""
+    """The shingle sets of the rows that asked for them, once each (``row``), whatever number of equal texts there are."""
+    seen: set[int] = set()
     for batch in batches:
         for piece in W.pieces(batch, "text"):
             keep, sets = [], []
-            k1, k2 = piece.column("k1").to_pylist(), piece.column("k2").to_pylist()
+            k1, k2, rows = (piece.column(k).to_pylist() for k in ("k1", "k2", "row"))
             for i, members in enumerate(_sets(W.as_strings(piece.column("text")))):
-                if _key(members) == (k1[i], k2[i]):
+                if rows[i] not in seen and _key(members) == (k1[i], k2[i]):
+                    seen.add(rows[i])
                     keep.append(i)
                     sets.append(members.tobytes())
-            out = piece.drop_columns(["text", "k1", "k2"]).take(pa.array(keep, pa.int64()))
+            out = piece.drop_columns(["text", "k1", "k2", "row"]).take(pa.array(keep, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(sets, pa.binary())], [*out.schema.names, "members"])
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per bucket and record: links that count here, and the least record linked directly or through others."""
     for g in W.grouped(batches, _CELL):
-        rep = g["rep"].to_numpy()
-        _, first = np.unique(rep, return_index=True)
+        _, first = np.unique(g["rep"].to_numpy(), return_index=True)
         g = g.take(pa.array(np.sort(first)))
         m = g.num_rows
         if m < 2:
             continue
         rep, n, copies = g["rep"].to_numpy(), g["n"].to_numpy(), g["copies"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in g["members"].to_pylist()]
-        values, col, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        both = _shared(np.repeat(np.arange(m), n), col, count, m)
+        both = dense.overlaps([np.frombuffer(x, np.uint64) for x in g["members"].to_pylist()])
         links = both >= THRESHOLD * (n[:, None] + n[None, :] - both) - 1e-6
         np.fill_diagonal(links, False)
         facing = _facing(g)
@@ -234,8 +196,11 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             links &= facing
         if not links.any():
             continue
-        root = _roots(links, rep)
-        links &= ~_seen_before(_lists(g), g["leaf"][0].as_py())
+        root = dense.roots(links, rep)
+        done = dense.settled(g["core"].to_numpy(), dense.lists(g["centres"]))
+        if done is not None:
+            links &= ~done
+        links &= ~_seen_before(dense.lists(g["leaves"]), g["leaf"][0].as_py())
         has = (root != rep) | links.any(1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(rep[has]), pa.array(root[has]), pa.array(links.sum(1)[has].astype(np.int64)), pa.array((links @ copies)[has].astype(np.int64))],
@@ -243,34 +208,52 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: (id, class_id, n_links, n_text_links, set_id).
+_SET = ["k1", "k2", "n"]
+_FOUND = "rep long, root long, texts long, docs long"
 
-    class_id: least id connected through links of Jaccard similarity >= 0.8; n_links: other documents linked
-    directly, exact copies included; n_text_links: other shingle sets linked; set_id: least id with the same set.
-    Null, empty and word-less texts have no shingles: no links, a class of their own. Texts of one to four words are one
-    shingle. Repeated rows count as copies of each other. A null id keeps its row; its class may then be that of
-    the least id among its copies. An empty table gives none. Other columns are not read.
-    """
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, text): a row is known by its id and a hash of its text."""
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("h"), text.alias("text"))
+
+
+def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sketch: id, h, k1, k2, n, sig; named: k1, k2, n, rep, root, id, h, copies, texts, docs): see ``ngram_jaccard_join``."""
     runs = runs_needed()
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketch = cut(source.mapInArrow(_sketch, _SKETCH))
-    keys = ["k1", "k2", "n"]
-    filled = sketch.where("n > 0")
-    classes = cut(
-        filled.groupBy(*keys).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
-        .withColumn("known", F.col("rep").isNotNull())
-    )
-    members = classes.where("known")
-
-    # Paths, level by level: only buckets that are still too large go on.
+    least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h"))
+    grouped = sketch.where("n > 0").groupBy(*_SET).agg(least.alias("x"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
+    members = cut(grouped.select(*_SET, "x.id", "x.h", "copies", "sig", F.monotonically_increasing_id().alias("rep")))
+
+    def sets_of(rows: DataFrame) -> DataFrame:
+        """``rows`` (with rep) and their shingle sets."""
+        asked = cut(rows.join(members.select("rep", F.coalesce("id", F.lit(0)).alias("id0"), "h", "k1", "k2"), "rep").withColumn("row", F.monotonically_increasing_id()))
+        texts = source.select(F.coalesce("id", F.lit(0)).alias("id0"), "h", "text").join(bounded(asked), ["id0", "h"]).drop("id0", "h")
+        kept = rows.select(*(F.col(c) for c in texts.columns if c not in ("text", "k1", "k2", "row"))).schema
+        return texts.mapInArrow(_with_sets, kept.add("members", "binary"))
+
+    # Paths, level by level: only buckets that are still too large go on, without the cores of their centres.
     level, leaves, rows = 1, None, members.select("rep", "sig")
+    core, measured = None, None
     while True:
         followed = rows.mapInArrow(_split(level, runs), "path long, rep long, parent long")
-        sizes = followed.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+        sizes = cut(followed.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         dealt = cut(followed.join(sizes, "path").select("path", "rep", "parent", "m"))
+        large = dealt.where(F.col("m") > LIMIT)
+        found = None if large.isEmpty() else dense.centres(large, members, sets_of, _signature, level)
+        if found is not None:
+            paths, middles = found
+            more = dense.measured(large, paths, middles, members, sets_of)
+            best = more.where(f"likeness >= {dense.CORE}").groupBy("rep").agg(F.min(F.struct((-F.col("likeness")).alias("d"), "centre"))["centre"].alias("core"))
+            best = best if core is None else best.join(core.select("rep"), "rep", "left_anti").unionByName(core)
+            core, measured = cut(best), more if measured is None else measured.unionByName(more)
+            settled = core.join(bounded(paths.withColumnRenamed("centre", "core")), "core").select("path", "rep")
+            left = dealt.drop("m").join(settled, ["path", "rep"], "left_anti")
+            sizes = cut(left.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
+            dealt = cut(left.join(sizes, "path"))
         final = (F.col("m") <= LIMIT) | F.lit(level == DEPTH) | (F.col("m") > STUCK * F.col("parent")) & (F.col("parent") > 0)
-        done = dealt.where(final)
+        done = dealt.where(final).select("path", "rep", "m")
         leaves = done if leaves is None else leaves.unionByName(done)
         rest = dealt.where(~final)
         if level == DEPTH or rest.isEmpty():
@@ -279,7 +262,16 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         level += 1
 
     own = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("leaves"))
-    info = own.join(members, "rep")
+    info = own.join(members.select("rep", "n", "copies", "sig"), "rep")
+    none = F.array().cast("array<long>")
+    if measured is None:
+        info = info.select("*", F.lit(-1).cast("long").alias("core"), none.alias("centres"))
+    else:
+        # A record measured twice for one centre (at two levels) counts once.
+        measured = cut(measured.dropDuplicates(["rep", "centre"]))
+        cores = measured.groupBy("rep").agg(F.array_sort(F.collect_set("centre")).alias("centres")).join(core, "rep", "left")
+        cores = cut(cores.select("rep", F.coalesce("core", F.lit(-1)).alias("core"), "centres"))
+        info = info.join(cores, "rep", "left").withColumn("core", F.coalesce("core", F.lit(-1))).withColumn("centres", F.coalesce("centres", none))
     blocks = F.ceil(F.col("m") / LIMIT).cast("int")
     side = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     others = F.sequence(F.lit(0), blocks - 1)
@@ -287,36 +279,66 @@ def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         leaves.dropDuplicates(["path", "rep"]).withColumn("side", side).withColumn("other", F.explode(others))
         .select(F.col("path").alias("leaf"), F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "rep")
     )
-    full = cells.join(info, "rep").select(*_CELL, "side", "rep", "n", "k1", "k2", "copies", "leaves", "sig")
-    schema = "leaf long, ci int, cj int, side int, rep long, n long, k1 long, k2 long, copies long, leaves array<long>"
-    near = cut(full.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_candidates, schema))
-    texts = source.join(bounded(near).withColumnRenamed("rep", "id"), "id")
-    sets = texts.mapInArrow(_with_sets, "id long, leaf long, ci int, cj int, side int, n long, copies long, leaves array<long>, members binary").withColumnRenamed("id", "rep")
-    found = cut(sets.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_verify, "rep long, root long, texts long, docs long"))
+    full = cells.join(info, "rep").select(*_KEPT, "sig")
+    near = cut(full.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_candidates, _KINDS))
+    links = sets_of(near).repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_verify, _FOUND)
+    found = cut(links if measured is None else links.unionByName(dense.count_links(measured, cores)))
 
     counts = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))
     roots = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    named = classes.select(*keys, "rep", "copies").join(counts.join(roots, "rep", "full_outer"), "rep", "left")
-    named = named.select(*keys, F.col("rep").alias("set_id"), F.coalesce("root", "rep").alias("class_id"), "copies", "texts", "docs")
-    out = sketch.select("id", *keys).join(named, keys, "left")
+    named = members.drop("sig").join(counts.join(roots, "rep", "full_outer"), "rep", "left")
+    return sketch, named.select(*_SET, "rep", F.coalesce("root", "rep").alias("root"), "id", "h", "copies", "texts", "docs")
+
+
+def _winners(named: DataFrame) -> DataFrame:
+    """(root, class_id, class_h): of each component, the least id (null: last) and its text's hash."""
+    least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h"))
+    return named.groupBy("root").agg(least.alias("x")).select("root", F.col("x.id").alias("class_id"), F.col("x.h").alias("class_h"))
+
+
+def ngram_jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: (id, class_id, n_links, n_text_links, set_id).
+
+    class_id: least id connected through links of Jaccard similarity >= 0.8; n_links: other documents linked
+    directly, exact copies included; n_text_links: other shingle sets linked; set_id: least id with the same set.
+    Null, empty and word-less texts have no shingles: no links, a class of their own. Texts of one to four words are one
+    shingle. Repeated rows count as copies of each other. Null and repeated ids are no hindrance: each row is linked by its
+    text; class_id and set_id are null where every document they stand for has a null id. Ids are cast to long. Very long
+    texts are taken piece by piece. An empty table gives none. Other columns, whatever their names, are not read.
+    """
+    sketch, named = _joined(_source(docs, id_col, text_col))
+    named = named.join(_winners(named), "root").select(*_SET, F.col("id").alias("set_id"), "class_id", "copies", "texts", "docs")
+    out = sketch.select("id", *_SET).join(named, _SET, "left")
+    alone = F.col("copies").isNull()
     return out.select(
         F.col("id").alias(id_col),
-        F.coalesce("class_id", "id").alias("class_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce(F.col("copies") - 1 + F.coalesce("docs", F.lit(0)), F.lit(0)).alias("n_links"),
         F.coalesce("texts", F.lit(0)).alias("n_text_links"),
-        F.coalesce("set_id", "id").alias("set_id"),
+        F.when(alone, F.col("id")).otherwise(F.col("set_id")).alias("set_id"),
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each class stays: the one whose id names the class; rows with a null id stay as they are.
+    """One document of each class stays: the one of the least id (null ids last, then by a hash of the text).
 
-    All columns are returned. If an id is repeated, one of its rows stays.
+    All columns are returned, whatever their names. Rows without any word stay. Rows that repeat an id and a text are
+    one document's: one of them stays. Of different texts under one id each is judged by its own class.
     """
-    joined = ngram_jaccard_join(docs, id_col, text_col)
-    gone = cut(joined.where(F.col(id_col) != F.col("class_id")).select(id_col).distinct())
-    kept = docs.join(bounded(gone), id_col, "left_anti")
-    again = cut(joined.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(id_col))
-    if again.isEmpty():
-        return kept
-    return kept.join(again, id_col, "left_anti").unionByName(kept.join(again, id_col, "left_semi").dropDuplicates([id_col]))
+    sketch, named = _joined(_source(docs, id_col, text_col))
+    named = cut(named.join(_winners(named), "root"))
+    own = sketch.where("n > 0").select("id", "h", *_SET).join(named.select(*_SET, "class_id", "class_h"), _SET)
+    same = F.col("id").eqNullSafe(F.col("class_id")) & (F.col("h") == F.col("class_h"))
+    judged = cut(own.groupBy("id", "h").agg(F.max(same).alias("stays"), F.count(F.lit(1)).alias("n")))
+    i, h = fresh(docs, "_near_id"), fresh(docs, "_near_hash")
+    known = docs.select("*", F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias(i), F.xxhash64(F.col(text_col).cast("string")).alias(h))
+    # A null id stands as 0 with another hash, so that both are plain keys.
+    null = F.when(F.col("id").isNull(), F.xxhash64("h")).otherwise(F.col("h"))
+    known = known.withColumn(h, F.when(F.col(id_col).isNull(), F.xxhash64(h)).otherwise(F.col(h)))
+    keyed = judged.select(F.coalesce("id", F.lit(0)).alias(i), null.alias(h), "stays", "n")
+    kept = known.join(bounded(keyed.where("not stays").select(i, h)), [i, h], "left_anti")
+    again = cut(keyed.where("stays and n > 1").select(i, h))
+    if not again.isEmpty():
+        once = kept.join(bounded(again), [i, h], "left_semi").dropDuplicates([i, h])
+        kept = kept.join(bounded(again), [i, h], "left_anti").unionByName(once)
+    return kept.select(*[kept[f"`{c}`"] for c in docs.columns])
