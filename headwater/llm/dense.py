@@ -151,7 +151,7 @@ def centres(large: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame],
     """
     order = F.xxhash64(F.lit("pick"), "rep")
     picked = large.groupBy("path", F.pmod(order, F.lit(PICKS)).alias("bin")).agg(F.min(F.struct(order.alias("h"), "rep")).alias("x"))
-    picked = picked.select("path", "x.h", "x.rep").join(members.select("rep", "sig"), "rep")
+    picked = members.select("rep", "sig").join(bounded(cut(picked.select("path", "x.h", "x.rep"))), "rep")
     picked = picked.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("h", "rep", "sig"))).alias("picks"))
     found = picked.mapInArrow(_medoids, "path long, centre long, rep long")
     # A centre is another one at another level, as its picks are.
@@ -204,9 +204,9 @@ def measured(large: DataFrame, paths: DataFrame, middles: DataFrame, members: Da
     """Core and ring of each centre among the records of its buckets: each record against each centre once, exactly."""
     total = middles.agg(F.sum("size")).first()[0] or 0
     small = (lambda df: F.broadcast(df)) if total <= BROADCAST_SHINGLES else (lambda df: df)
-    pairs = large.select("path", "rep").join(bounded(paths), "path").select("rep", "centre").distinct()
-    near = pairs.join(members.select("rep", "sig"), "rep").join(small(middles.select("centre", "csig")), "centre").select("rep", "centre", "sig", "csig").mapInArrow(_close, "rep long, centre long")
-    sets = sets_of(cut(near).join(members.select("rep", "n", "copies"), "rep"))
+    pairs = cut(large.select("path", "rep").join(bounded(paths), "path").select("rep", "centre").distinct())
+    near = members.select("rep", "sig").join(bounded(pairs), "rep").join(small(middles.select("centre", "csig")), "centre").select("rep", "centre", "sig", "csig").mapInArrow(_close, "rep long, centre long")
+    sets = sets_of(members.select("rep", "n", "copies").join(bounded(cut(near)), "rep"))
     return cut(sets.join(small(middles.select("centre", "middle", "size")), "centre").mapInArrow(_measure, _MEASURED))
 
 

@@ -228,7 +228,8 @@ def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     def sets_of(rows: DataFrame) -> DataFrame:
         """``rows`` (with rep) and their shingle sets."""
-        asked = cut(rows.join(members.select("rep", F.coalesce("id", F.lit(0)).alias("id0"), "h", "k1", "k2"), "rep").withColumn("row", F.monotonically_increasing_id()))
+        known = members.select("rep", F.coalesce("id", F.lit(0)).alias("id0"), "h", "k1", "k2")
+        asked = cut(known.join(bounded(rows), "rep").withColumn("row", F.monotonically_increasing_id()))
         texts = source.select(F.coalesce("id", F.lit(0)).alias("id0"), "h", "text").join(bounded(asked), ["id0", "h"]).drop("id0", "h")
         kept = rows.select(*(F.col(c) for c in texts.columns if c not in ("text", "k1", "k2", "row"))).schema
         return texts.mapInArrow(_with_sets, kept.add("members", "binary"))
@@ -248,10 +249,13 @@ def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
             best = more.where(f"likeness >= {dense.CORE}").groupBy("rep").agg(F.min(F.struct((-F.col("likeness")).alias("d"), "centre"))["centre"].alias("core"))
             best = best if core is None else best.join(core.select("rep"), "rep", "left_anti").unionByName(core)
             core, measured = cut(best), more if measured is None else measured.unionByName(more)
-            settled = core.join(bounded(paths.withColumnRenamed("centre", "core")), "core").select("path", "rep")
-            left = dealt.drop("m").join(settled, ["path", "rep"], "left_anti")
-            sizes = cut(left.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
-            dealt = cut(left.join(sizes, "path"))
+            # Only the buckets of these centres change.
+            few = bounded(paths.select("path").distinct())
+            own = dealt.join(few, "path", "left_semi").drop("m")
+            settled = own.join(core, "rep").join(bounded(paths.withColumnRenamed("centre", "core")), ["path", "core"]).select("path", "rep")
+            left = cut(own.join(settled, ["path", "rep"], "left_anti"))
+            again = left.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+            dealt = cut(dealt.join(few, "path", "left_anti").unionByName(left.join(again, "path")))
         final = (F.col("m") <= LIMIT) | F.lit(level == DEPTH) | (F.col("m") > STUCK * F.col("parent")) & (F.col("parent") > 0)
         done = dealt.where(final).select("path", "rep", "m")
         leaves = done if leaves is None else leaves.unionByName(done)
