@@ -33,7 +33,7 @@ CORE, RING = 0.8, 0.6
 #: Agreement of signatures under which a ring member falls by chance only (three standard deviations under ``RING``).
 LEAST_AGREEMENT = 0.45
 #: Members of a block of a centre's members, in order of s.
-BLOCK = 1024
+BLOCK = 512
 #: Shingles of centres that may be broadcast: 16 MB.
 BROADCAST_SHINGLES = 2_000_000
 

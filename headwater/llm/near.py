@@ -238,7 +238,7 @@ def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     level, leaves, rows = 1, None, members.select("rep", "sig")
     core, measured = None, None
     while True:
-        followed = rows.mapInArrow(_split(level, runs), "path long, rep long, parent long")
+        followed = cut(rows.mapInArrow(_split(level, runs), "path long, rep long, parent long"))
         sizes = cut(followed.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         dealt = cut(followed.join(sizes, "path").select("path", "rep", "parent", "m"))
         large = dealt.where(F.col("m") > LIMIT)
@@ -262,7 +262,7 @@ def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
         rest = dealt.where(~final)
         if level == DEPTH or rest.isEmpty():
             break
-        rows = rest.join(members.select("rep", "sig"), "rep").select("rep", "sig", "path", "m")
+        rows = members.select("rep", "sig").join(bounded(rest), "rep").select("rep", "sig", "path", "m")
         level += 1
 
     own = leaves.groupBy("rep").agg(F.array_sort(F.collect_set("path")).alias("leaves"))
