@@ -2,13 +2,15 @@
 
 One pattern finds all entities of a text; the text is split by the same pattern and rebuilt with the surrogates in
 place, inside its own row. A surrogate is a function of a secret key and the entity's canonical form (case folded,
-separators dropped), so every mention of an entity gets the same one, in the mention's own format: digits for digits,
-letters of the same script and case, vowels for vowels in names, given names of the same gender and script, valid check
-digits where they were valid, country prefixes and titles kept.
+separators dropped, a North American number with or without its +1), so every mention of an entity gets the same one, in the
+mention's own format: digits for digits, letters of the same script and case, vowels for vowels in names, given names of the
+same gender and script, valid check digits where they were valid, country prefixes and titles kept. The words of a detected
+name are also replaced where they stand alone in the same text.
 
 Distinctness is checked over the whole corpus: distinct entities (pre-aggregated) whose surrogates coincide with one
-another or with any real entity are drawn again, round by round, until none is left. Only such exceptions, usually none,
-are joined back.
+another or with any real entity are drawn again, round by round, until none is left. After ``ROUNDS`` draws of the
+entity's own length each further draw is one character longer, so even where all short names are taken there is a free
+one and the rounds end. Only such exceptions, usually none, are joined back.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.shared import bounded, cut
+from headwater.llm.shared import bounded, cut, fresh
 
 # Titles by gender and given names by script and gender, in parallel use.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Sir", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "г-н", "г-жа", "κ", "κα")
@@ -36,13 +38,33 @@ LETTERS = {
     "cyrillic": ("аеиоуэюя", "бвгджзклмнпрстфхцчшщ", r"[\p{IsCyrillic}]"),
     "greek": ("αειουωη", "βγδζθκλμνξπρστφχψ", r"[\p{IsGreek}]"),
 }
+# Letters of further scripts (of Hangul and Han: frequent syllables and family names). Letters of any other
+# script give way to Latin ones.
+OTHERS = {
+    "Armenian": "աբգդեզէըթժիլխծկհձղճմյնշոչպջռսվտրցփքօֆ",
+    "Georgian": "აბგდევზთიკლმნოპჟრსტუფქღყშჩცძწჭხჯჰ",
+    "Hebrew": "אבגדהוזחטיכלמנסעפצקרשת",
+    "Arabic": "ابتثجحخدذرزسشصضطظعغفقكلمنهوي",
+    "Devanagari": "कखगघचछजझटठडढतथदधनपफबभमयरलवशषसह",
+    "Thai": "กขคงจชซดตถทนบปผพฟมยรลวสหอ",
+    "Hiragana": "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ",
+    "Katakana": "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ",
+    "Hangul": "가나다라마바사아자차카타파하고노도로모보소오조초코토포호",
+    "Han": "王李张刘陈杨赵黄周吴徐孙马朱胡林郭何高罗",
+}
+# Country calling codes of one and of two digits; all others have three.
+CODES = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])"
+
+#: Draws of an entity's own length before they grow.
+ROUNDS = 8
 
 _END = r"(?![\p{L}\p{N}_])"
 _WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
 #: Kind -> pattern, tried in this order where no letter, digit or joining mark stands before.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]{1,64}+@(?:[\p{L}\p{N}-]{1,63}\.)+\p{L}{2,24}",
-    "key": rf"(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}|(?:ghp|gho|sk|pk)_[A-Za-z0-9]{{16,80}}{_END}",
+    "email": r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
+    "key": rf"(?:AKIA|ASIA)[0-9A-Z]{{16}}{_END}|(?:ghp|gho|sk|pk)_[A-Za-z0-9]{{16,}}+{_END}",
+    "secret": rf"(?=[A-Za-z0-9]{{16}})(?<=(?i:token|secret|password|passwd|key)[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[A-Za-z0-9]{{16,}}+{_END}",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
     "ip": rf"\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_END}(?!\.\d)",
     "card": rf"\d(?:[ -]?\d){{12,18}}{_END}",
@@ -70,15 +92,17 @@ def entities(text: Column) -> Column:
 def kind(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email").when(e.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|sk_|pk_)"), "key").when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
-        .when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
-        .when(e.rlike(r"^[+(\d]"), "phone").otherwise("name")
+        .when(e.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), "iban").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
+        .when(e.rlike(r"^[A-Za-z0-9]{16,}$") & (e.rlike(r"\d") | ~e.rlike(r"^\p{Lu}\p{Ll}+$")), "secret").when(e.rlike(r"^[+(\d]"), "phone").otherwise("name")
     )
 
 
 def unit(e: Column) -> Column:
     """Kind and canonical form: what is one entity. Of names, each word is its own."""
     plain = F.regexp_replace(e, r"[^\p{L}\p{N}]", "")
-    return let(kind(e), lambda k: F.concat(k, F.lit(":"), F.when(k.isin("email", "name"), F.lower(e)).when(k == "ip", e).otherwise(plain)))
+    phone = F.when(e.startswith("+"), F.regexp_replace(plain, r"^1(?=\d{10}$)", "")).otherwise(plain)
+    canonical = lambda k: F.when(k.isin("email", "name"), F.lower(e)).when(k == "ip", e).when(k == "phone", phone).otherwise(plain)
+    return let(kind(e), lambda k: F.concat(k, F.lit(":"), canonical(k)))
 
 
 def _random(seed: Column, j: Column) -> Column:
@@ -95,25 +119,43 @@ def _letter(c: Column, r: Column, as_name: bool) -> Column:
 
 
 def _cased(c: Column, low: Column, r: Column, as_name: bool) -> Column:
-    out = None
+    out = F
     for vowels, consonants, script in LETTERS.values():
-        one = F.when(low.isin(*vowels), _pick(vowels, r)).otherwise(_pick(consonants, r)) if as_name else _pick(vowels + consonants, r)
-        out = F.when(low.rlike(script), one) if out is None else out.when(low.rlike(script), one)
-    return let(out.otherwise(low), lambda new: F.when(c != low, F.upper(new)).otherwise(new))
+        out = out.when(low.rlike(script), F.when(low.isin(*vowels), _pick(vowels, r)).otherwise(_pick(consonants, r)) if as_name else _pick(vowels + consonants, r))
+    for script, letters in OTHERS.items():
+        out = out.when(low.rlike(rf"[\p{{Is{script}}}]"), _pick(letters, r))
+    latin = LETTERS["latin"]
+    return let(out.otherwise(_pick(latin[0] + latin[1], r)), lambda new: F.when(c != low, F.upper(new)).otherwise(new))
+
+
+def _poured(e: Column, seed: Column, kept: Column, as_name: bool = False, from_end: bool = False, hexadecimal: Column | None = None) -> Column:
+    """The format of ``e`` with keyed digits and letters; the first ``kept`` of them stay. ``from_end``: places count from the end."""
+
+    def fill(plain: Column) -> Column:
+        def one(c: Column, i: Column) -> Column:
+            def at(j: Column) -> Column:
+                def drawn(r: Column) -> Column:
+                    letter = _letter(c, r, as_name)
+                    if hexadecimal is not None:
+                        letter = F.when(hexadecimal, F.when(c != F.lower(c), F.upper(_pick("abcdef", r))).otherwise(_pick("abcdef", r))).otherwise(letter)
+                    return F.when(c.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(letter)
+
+                new = let(_random(seed, F.length(plain) - 1 - j if from_end else j), drawn)
+                return F.when(j < kept, c).otherwise(new)
 
+            place = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
+            return F.when(c.rlike(r"[\p{L}\p{N}]"), let(place, at)).otherwise(c)
 
-def _poured(e: Column, seed: Column, kept: Column, as_name: bool = False) -> Column:
-    """The format of ``e`` with keyed digits and letters; the first ``kept`` of them stay."""
+        return F.array_join(F.transform(F.split(e, ""), one), "")
 
-    def one(c: Column, i: Column) -> Column:
-        def at(j: Column) -> Column:
-            new = let(_random(seed, j), lambda r: F.when(c.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(_letter(c, r, as_name)))
-            return F.when(j < kept, c).otherwise(new)
+    return let(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""), fill) if from_end else fill(F.lit(""))
 
-        place = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
-        return F.when(c.rlike(r"[\p{L}\p{N}]"), let(place, at)).otherwise(c)
 
-    return F.array_join(F.transform(F.split(e, ""), one), "")
+def _longer(s: Column, seed: Column, n: Column) -> Column:
+    """``s`` with ``n`` more characters of the kind of its last one."""
+    last = F.substring(s, F.lit(-1), F.lit(1))
+    more = lambda i: let(_random(F.concat(seed, F.lit("+")), i), lambda r: F.when(last.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(_letter(F.lower(last), r, False)))
+    return F.when(n > 0, F.concat(s, F.array_join(F.transform(F.sequence(F.lit(1), n), more), ""))).otherwise(s)
 
 
 def _luhn(digits: Column) -> Column:
@@ -151,22 +193,22 @@ def _iban(e: Column, seed: Column) -> Column:
     return let(_poured(e, seed, F.lit(2)), lambda new: F.when(_mod97(plain(e)) == 1, valid(new)).otherwise(new))
 
 
-def _email(e: Column, seed: Column, key: str) -> Column:
+def _email(e: Column, seed: Column, key: str, grow: Column) -> Column:
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     top = F.substring_index(domain, ".", -1)
     labels = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    return F.concat(_poured(local, seed, F.lit(0)), F.lit("@"), _poured(labels, F.concat(F.lit(f"{key}|domain|"), F.lower(domain)), F.lit(0)), top)
+    return F.concat(_longer(_poured(local, seed, F.lit(0)), seed, grow), F.lit("@"), _poured(labels, F.concat(F.lit(f"{key}|domain|"), F.lower(domain)), F.lit(0)), top)
 
 
 def _given(word: Column, key: str) -> Column | None:
-    """Given names move on in their own list (script, gender) by a keyed number of places: no two meet, none stays."""
+    """Given names move to the next in a keyed order of their own list (script, gender): no two meet, none stays."""
     import hashlib
 
     out = F
     for group, names in GIVEN.items():
-        by = 1 + int(hashlib.sha256(f"{key}|{group}".encode()).hexdigest(), 16) % (len(names) - 1)
-        for i, name in enumerate(names):
-            out = out.when(word == name, names[(i + by) % len(names)])
+        order = sorted(names, key=lambda n: hashlib.sha256(f"{key}|{group}|{n}".encode()).digest())
+        for i, name in enumerate(order):
+            out = out.when(word == name, order[(i + 1) % len(order)])
     return out
 
 
@@ -178,26 +220,35 @@ def _is_given(word: Column) -> Column:
     return word.isin(*[n for names in GIVEN.values() for n in names])
 
 
-def surrogate(e: Column, key: str, attempt: Attempt) -> Column:
-    """The surrogate of one entity; ``attempt`` gives the number of draws that a unit has failed."""
+def _word(w: Column, key: str, attempt: Attempt) -> Column:
+    """The surrogate of one word of a name that is no title."""
+
+    def drawn(u: Column) -> Column:
+        return let(attempt(u), lambda n: let(_seed(key, u, n), lambda s: _longer(_poured(w, s, F.lit(0), True), s, n - ROUNDS)))
 
-    def seed(u: Column) -> Column:
-        return F.concat(F.lit(f"{key}|"), u, F.lit("|"), attempt(u).cast("string"))
+    return _given(w, key).otherwise(let(F.concat(F.lit("name:"), F.lower(w)), drawn))
 
-    def word(w: Column) -> Column:
-        return F.when(_is_title(w), w).otherwise(_given(w, key).otherwise(_poured(w, seed(F.concat(F.lit("name:"), F.lower(w))), F.lit(0), True)))
 
-    def of(k: Column, s: Column) -> Column:
-        code = F.when(e.startswith("+"), F.length(F.regexp_extract(e, r"^\+(\d{1,3})(?=[ .(-])", 1))).otherwise(0)
+def _seed(key: str, u: Column, attempt: Column) -> Column:
+    return F.concat(F.lit(f"{key}|"), u, F.lit("|"), attempt.cast("string"))
+
+
+def surrogate(e: Column, key: str, attempt: Attempt) -> Column:
+    """The surrogate of one entity; ``attempt`` gives the number of draws that a unit has failed."""
+
+    def of(k: Column, s: Column, n: Column) -> Column:
+        grow = n - ROUNDS
+        code = F.when(e.startswith("+"), F.length(F.regexp_extract(F.regexp_replace(e, r"\D", ""), CODES + r"|^\d{3}", 0))).otherwise(0)
         octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (1 + _random(s, i) % 254).cast("string")), ".")
         prefix = F.when(e.rlike("^A"), 4).otherwise(F.length(F.regexp_extract(e, "^([a-z]+)_", 1)))
-        kept = F.when(k == "key", prefix).when(k == "phone", code).otherwise(0)
-        return (
-            F.when(k == "email", _email(e, s, key)).when(k == "ip", octets).when(k == "iban", _iban(e, s)).when(k == "card", _card(e, s))
-            .when(k == "name", F.array_join(F.transform(F.split(e, " "), word), " ")).otherwise(_poured(e, s, kept))
+        other = (
+            F.when(k == "ip", octets).when(k == "iban", _iban(e, s)).when(k == "card", _card(e, s)).when(k == "phone", _poured(e, s, code, from_end=True))
+            .otherwise(_poured(e, s, F.when(k == "key", prefix).otherwise(0), hexadecimal=(k == "secret") & e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
         )
+        names = F.transform(F.split(e, " "), lambda w: F.when(_is_title(w), w).otherwise(_word(w, key, attempt)))
+        return F.when(k == "email", _email(e, s, key, grow)).when(k == "name", F.array_join(names, " ")).otherwise(_longer(other, s, grow))
 
-    return let(kind(e), lambda k: let(seed(unit(e)), lambda s: of(k, s)))
+    return let(kind(e), lambda k: let(unit(e), lambda u: let(attempt(u), lambda n: let(_seed(key, u, n), lambda s: of(k, s, n)))))
 
 
 def _units(e: Column) -> Column:
@@ -210,16 +261,18 @@ def _units(e: Column) -> Column:
 def _drawn(unit_col: Column, example: Column, key: str, attempt: Column) -> Column:
     """The unit that the surrogate of a unit would be."""
     name = unit_col.startswith("name:")
-    word = _poured(example, F.concat(F.lit(f"{key}|"), unit_col, F.lit("|"), attempt.cast("string")), F.lit(0), True)
-    new = F.when(name, word).otherwise(surrogate(example, key, lambda _: attempt))
+    new = F.when(name, _word(example, key, lambda _: attempt)).otherwise(surrogate(example, key, lambda _: attempt))
     return let(new, lambda x: F.when(name, F.concat(F.lit("name:"), F.lower(x))).otherwise(unit(x)))
 
 
-def collisions(units: DataFrame, key: str, rounds: int = 40) -> DataFrame | None:
-    """(unit, attempt) of the units that need another draw than the first; None if there is none."""
+def collisions(units: DataFrame, key: str) -> DataFrame | None:
+    """(unit, attempt) of the units that need another draw than the first; None if there is none.
+
+    The rounds end: once draws grow, their space is larger by the size of the alphabet each time.
+    """
     real = units.select(F.col("unit").alias("drawn"))
     pending, settled, moved = units.withColumn("attempt", F.lit(0)), None, None
-    for _ in range(rounds):
+    while True:
         drawn = cut(pending.withColumn("drawn", _drawn(F.col("unit"), F.col("example"), key, F.col("attempt"))))
         first = drawn.groupBy("drawn").agg(F.min("unit").alias("first"))
         free = first.join(real, "drawn", "left_anti")
@@ -232,45 +285,66 @@ def collisions(units: DataFrame, key: str, rounds: int = 40) -> DataFrame | None
         pending = judged.where("ok is null").select("unit", "example", (F.col("attempt") + 1).alias("attempt"))
         if pending.isEmpty():
             return None if moved.isEmpty() else moved
-    raise RuntimeError(f"surrogates still collide after {rounds} rounds")
 
 
-def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with surrogates in the text, and the columns _n_entities and _kinds (sorted array of kinds).
+def _name_words(found: Column) -> Column:
+    """array<string>: the words of all detected names, without titles."""
+    words = F.flatten(F.transform(F.filter(found, lambda e: kind(e) == "name"), lambda e: F.filter(F.split(e, " "), lambda w: ~_is_title(w))))
+    return F.array_distinct(words)
 
-    Texts without entities are unchanged, null texts stay null. Ids only tell where exceptions go: null and repeated ids
-    are fine. Other columns pass through; an empty table gives none.
-    """
-    found = docs.select(F.explode(entities(F.col(text_col).cast("string"))).alias("e")).select(F.explode(_units(F.col("e"))).alias("u"))
+
+def _alone(piece: Column, names: Column, key: str, attempt: Attempt) -> Column:
+    """Text between entities, with the words of ``names`` replaced where they stand alone (an 's may follow)."""
+
+    def one(t: Column) -> Column:
+        return let(F.regexp_replace(t, "['’]s$", ""), lambda w: F.when(F.array_contains(names, w), F.concat(_word(w, key, attempt), F.substring(t, F.length(w) + 1, F.length(t)))).otherwise(t))
+
+    tokens = F.regexp_extract_all(piece, F.lit(r"[\p{L}\p{N}_]+(?:['’-][\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+"), F.lit(0))
+    return F.array_join(F.transform(tokens, one), "")
+
+
+def _replaced(docs: DataFrame, key: str, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+    """(``docs`` with surrogates in the text and two more columns, the name of the number of entities, that of their kinds)."""
+    e, fix, known, count, kinds = (fresh(docs, f"_pii_{k}") for k in ("entities", "fix", "id", "count", "kinds"))
+    source = F.col(text_col).cast("string")
+    found = docs.select(F.explode(entities(source)).alias("e")).select(F.explode(_units(F.col("e"))).alias("u"))
     units = cut(found.groupBy("u.unit").agg(F.min("u.example").alias("example")))
     moved = collisions(units, key)
-    rows = docs.withColumn("_e", entities(F.col(text_col).cast("string")))
+    rows = docs.withColumn(e, entities(source))
     if moved is None:
         attempt: Attempt = lambda u: F.lit(0)
     else:
-        hit = rows.select(F.col(id_col).alias("_id"), F.explode("_e").alias("e")).select("_id", F.explode(_units(F.col("e"))).alias("u")).select("_id", "u.unit").distinct()
-        fixes = hit.join(bounded(cut(moved)), "unit").groupBy("_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias("_fix"))
-        fixes = bounded(cut(fixes))
-        rows = rows.join(fixes, rows[id_col].eqNullSafe(fixes["_id"]), "left").drop("_id")
-        attempt = lambda u: F.coalesce(F.try_element_at("_fix", u), F.lit(0))
-    pieces = F.split(F.col(text_col).cast("string"), PATTERN, -1)
-    new = F.transform("_e", lambda e: surrogate(e, key, attempt))
-    text = F.array_join(F.zip_with(pieces, new, lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
-    out = rows.withColumn("_n_entities", F.size("_e")).withColumn("_kinds", F.array_sort(F.array_distinct(F.transform("_e", kind))))
-    out = out.withColumn(text_col, F.when(F.col("_n_entities") > 0, text).otherwise(F.col(text_col)))
-    return out.drop("_e", "_fix")
+        hit = rows.select(F.col(id_col).alias("i"), F.explode(e).alias("e")).select("i", F.explode(_units(F.col("e"))).alias("u")).select("i", "u.unit").distinct()
+        fixes = hit.join(bounded(cut(moved)), "unit").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias(fix))
+        fixes = bounded(cut(fixes.withColumnRenamed("i", known)))
+        rows = rows.join(fixes, F.col(id_col).eqNullSafe(F.col(known)), "left").drop(known)
+        attempt = lambda u: F.coalesce(F.try_element_at(fix, u), F.lit(0))
+    pieces = F.split(source, PATTERN, -1)
+    between = let(_name_words(F.col(e)), lambda names: F.when(F.size(names) == 0, pieces).otherwise(F.transform(pieces, lambda p: _alone(p, names, key, attempt))))
+    new = F.transform(e, lambda x: surrogate(x, key, attempt))
+    text = F.array_join(F.zip_with(between, new, lambda p, x: F.concat(p, F.coalesce(x, F.lit("")))), "")
+    out = rows.withColumn(count, F.size(e)).withColumn(kinds, F.array_sort(F.array_distinct(F.transform(e, kind))))
+    out = out.withColumn(text_col, F.when(F.col(count) > 0, text).otherwise(F.col(text_col)))
+    return out.drop(e, fix), count, kinds
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, n_entities, kinds): the operator's plain result."""
+    """(doc_id, text, n_entities, kinds): the operator's plain result, one row per row of ``docs``.
+
+    Texts without entities are unchanged, null texts stay null, empty ones empty. Very long texts are rebuilt whole, in their
+    row. Repeated rows give repeated results. Ids, of any type, only tell where exceptions go: null and repeated ones are
+    fine. Of entities that want the same surrogate the least keeps it. An empty table gives none; other columns,
+    whatever their names, are not read.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return replace_pii(rows, key).select("doc_id", "text", F.col("_n_entities").cast("long").alias("n_entities"), F.array_join("_kinds", ",").alias("kinds"))
+    out, count, kinds = _replaced(rows, key, "doc_id", "text")
+    return out.select("doc_id", "text", F.col(count).cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))
 
 
 def rewrite(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The same columns as ``docs``, with the number of characters kept true where there is such a column."""
-    out = replace_pii(docs, key, id_col, text_col)
+    """The same rows and columns as ``docs``, with the number of characters kept true where there is such a column; else as ``pseudonymise``."""
+    out, count, _ = _replaced(docs, key, id_col, text_col)
     if chars_col in docs.columns:
         kind_of = docs.schema[chars_col].dataType
-        out = out.withColumn(chars_col, F.when(F.col("_n_entities") > 0, F.char_length(text_col).cast(kind_of)).otherwise(F.col(chars_col)))
-    return out.select(*docs.columns)
+        out = out.withColumn(chars_col, F.when(F.col(count) > 0, F.char_length(text_col).cast(kind_of)).otherwise(F.col(chars_col)))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])

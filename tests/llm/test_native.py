@@ -155,3 +155,61 @@ def test_columns_and_repeated_rows_pass_through(spark):
     assert out.columns == df.columns and out.schema["n_chars"].dataType == df.schema["n_chars"].dataType
     rows = out.collect()
     assert len(rows) == 4 and len({r["text"] for r in rows if r["doc_id"] == 1}) == 1 and all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
+def test_detection_equals_a_regex_engine_and_the_rest_stays(spark):
+    """Entities found by another engine with the same pattern; the text between them is unchanged."""
+    import regex
+
+    engine = regex.compile(pii.PATTERN.replace("++", "+").replace("}+", "}"))
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = run_pii(spark, rows)
+    some = 0
+    for d, t in rows:
+        want = engine.findall(t)
+        assert got[d]["n_entities"] == len(want), d
+        if want:
+            some += 1
+            pieces = engine.split(t)
+            assert re.fullmatch(".+?".join(map(re.escape, pieces)), got[d]["text"], re.S), d
+        else:
+            assert got[d]["text"] == t
+    assert some > 10
+
+
+def test_names_in_any_script_and_full_spaces_end(spark):
+    rows = [(1, "Dr Ակոբյան met Mr Ⴀბგ and Dr Ꮳꮃꭹ."), (2, "mail 山田@例え.jp or דוד@x.org")]
+    pairs = [f"{c.upper()}{v}" for c in "bcdfghjklmnpqrstvwxz" for v in "aeiou"]
+    rows += [(10 + i, f"Mr {p} spoke") for i, p in enumerate(pairs)]
+    got = run_pii(spark, rows)
+    new = [got[10 + i]["text"].split()[1] for i in range(len(pairs))]
+    assert len(set(new)) == len(new) and not set(new) & set(pairs) and all(n[0].isupper() and n[1:].islower() for n in new)
+    word = got[1]["text"].split()[1]
+    assert word != "Ակոբյան" and all("԰" <= c <= "֏" for c in word) and word[0].isupper()
+    assert "Ⴀბგ" not in got[1]["text"] and "Ꮳꮃꭹ" not in got[1]["text"] and "山田" not in got[2]["text"] and "דוד" not in got[2]["text"]
+
+
+def test_forms_of_a_number_and_lone_names_agree(spark):
+    rows = [
+        (1, "+49 30 123 4567"), (2, "+49301234567"), (3, "+1 (377) 555-0271"), (4, "(377) 555-0271"), (5, "+1-377-555-0271"), (6, "+13775550271"),
+        (7, "Mr Smith met John Smith. Smith left; John and Smith's dog, Smithson, O'Smith stayed."), (8, "Smith alone is no name here."),
+        (9, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962", key: ghp_abcdefghij0123456789XY and commit 04dbebab91ab85687d33eeaaf9ac699e1188f963'),
+        (10, "a" * 200 + "@x.org " + "sk_" + "Z9" * 100),
+    ]
+    got = {d: r["text"] for d, r in run_pii(spark, rows).items()}
+    digits = lambda s: re.sub(r"\D", "", s)
+    assert digits(got[1]) == digits(got[2]) and got[1].startswith("+49 ") and digits(got[1]) != "49301234567"
+    assert digits(got[3]) == digits(got[5]) == digits(got[6]) == "1" + digits(got[4]) and got[3].startswith("+1 (")
+    m = re.fullmatch(r"Mr (\w+) met (\w+) (\w+)\. (\w+) left; (\w+) and (\w+)'s dog, Smithson, O'Smith stayed\.", got[7])
+    assert m and m[1] == m[3] == m[4] == m[6] != "Smith" and m[2] == m[5] != "John" and got[8] == rows[7][1]
+    token, commit = re.findall(r"[0-9a-f]{40}", got[9])
+    assert token != "04dbebab91ab85687d33eeaaf9ac699e1188f962" and commit.endswith("963") and "ghp_abcdef" not in got[9]
+    assert "a" * 200 not in got[10] and "Z9Z9" not in got[10]
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["doc_id", "text", "_e", "_fix", "_n_entities", "_kinds", "_pii_entities", "_pii_fix", "_pii_id", "_pii_count", "_pii_kinds", "_id"]
+    df = spark.createDataFrame([(1, "joe@x.org", *range(10)), (2, None, *range(10)), (3, "", *range(10))], f"doc_id long, text string, {', '.join(f'{n} long' for n in names[2:])}")
+    out = pii.rewrite(df, "k")
+    assert out.columns == names and sorted(tuple(r)[2:] for r in out.collect()) == [tuple(range(10))] * 3
+    assert pii.rewrite(df.limit(0), "k").count() == 0
