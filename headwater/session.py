@@ -30,3 +30,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; expected one of {', '.join(TABLES)}")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def set_checkpoint_folder(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and written stages: the one that the session names in spark.checkpoint.dir.
+
+    Where none is named, a local session gets one of its own; on a cluster that is an error, as executors share no local disk.
+    """
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if named is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        import tempfile
+
+        named = tempfile.mkdtemp(prefix="headwater-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
+    return named

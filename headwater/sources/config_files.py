@@ -154,7 +154,11 @@ def _walk(kind: Any, v: Any, path: str, add) -> Any:
 
 def read_yaml(path: str | Path) -> Any:
     """Exactly one UTF-8 YAML document, parsed safely."""
-    return yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    return parse_yaml(Path(path).read_text(encoding="utf-8"))
+
+
+def parse_yaml(text: str) -> Any:
+    return yaml.safe_load(text)
 
 
 def check(name: str, document: Any, file: str | None = None) -> tuple[dict | None, list[Violation]]:

@@ -36,9 +36,26 @@ def all_empty(per_directory: DataFrame) -> DataFrame:
     return held.agg(F.coalesce(F.bool_and(F.col("n") == 0), F.lit(True)).alias("all_empty"))
 
 
+def stored(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, directory) of the entries of a folder in any store that Spark knows; none if the folder is missing.
+
+    Directory metadata only, listed by the driver: no file is opened.
+    """
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    rows = [(e.getPath().getName(), bool(e.isDirectory())) for e in fs.listStatus(path)] if fs.exists(path) else []
+    return spark.createDataFrame(rows, "name string, directory boolean")
+
+
 def manifest_report(spark: SparkSession, manifests: DataFrame, raw_glob: str) -> DataFrame:
-    """Manifest rows (filename, checksum_sha256) against the SHA-256 of the files themselves: ok, differs, absent or unlisted."""
+    """``compare_manifests`` against the files of a glob; their content is hashed on the executors."""
     files = spark.read.format("binaryFile").load(raw_glob).select(F.element_at(F.split("path", "/"), -1).alias("filename"), F.sha2("content", 256).alias("actual"))
+    return compare_manifests(manifests, files)
+
+
+def compare_manifests(manifests: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest rows (filename, checksum_sha256) against files (filename, actual SHA-256): ok, differs, absent or unlisted."""
     status = (
         F.when(F.col("actual").isNull(), "absent").when(F.col("listed").isNull(), "unlisted")
         .when(F.lower("checksum_sha256") == F.col("actual"), "ok").otherwise("differs")
