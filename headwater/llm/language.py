@@ -2,7 +2,8 @@
 
 Texts are cut into windows of ``WINDOW`` bytes; all of them are run. The network labels every byte; a document's
 probabilities are the mean over all its bytes. Trained in numpy by backpropagation through time on a bounded sample of
-labelled rows (``PER_LANGUAGE`` of each language, chosen by a hash of the id); memory does not depend on text length.
+labelled rows (``PER_LANGUAGE`` of each language, chosen by a hash of the id, fewer where there are very many languages); its windows
+are cut on the executors, and only they come to the driver. Every language of the rows that may be learned from is learned.
 """
 
 from __future__ import annotations
@@ -16,11 +17,11 @@ from pyspark.sql import functions as F
 
 from headwater.llm import neural as N
 from headwater.llm import words as W
-from headwater.llm.shared import held_out
+from headwater.llm.shared import bounded, held_out
 
 WINDOW, HIDDEN, PAD = 96, 8, 256
-#: Bounds of the training sample: rows of each language, languages (the most frequent), and windows a row gives at most.
-PER_LANGUAGE, LANGUAGES, WINDOWS_A_ROW = 250, 200, 8
+#: Bounds of the training sample: rows of each language, windows a row gives at most, and windows in all (10 MB), whatever the number of languages.
+PER_LANGUAGE, WINDOWS_A_ROW, WINDOWS = 250, 8, 100_000
 STEPS, BATCH = 180, 160
 UNKNOWN = "und"
 
@@ -102,38 +103,47 @@ class Model:
         return total / np.maximum(np.diff(at), 1)[:, None]
 
 
-def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, labels: int) -> list[tuple[str, str]]:
-    """(text, label) of at most ``per_label`` rows or so of each label that may be learned from.
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """At most ``WINDOWS_A_ROW`` windows of each text, spread over it."""
+    for batch in batches:
+        for piece in W.pieces(batch, "text"):
+            symbols, text = windows(*W.buffers(W.as_strings(piece.column("text"))))
+            total = np.bincount(text, minlength=piece.num_rows)
+            rank = np.arange(len(text)) - np.repeat(np.cumsum(total) - total, total)
+            keep = np.flatnonzero(rank * WINDOWS_A_ROW // np.maximum(total[text], WINDOWS_A_ROW) != (rank - 1) * WINDOWS_A_ROW // np.maximum(total[text], WINDOWS_A_ROW))
+            cut = [symbols[:, i].astype("<i2").tobytes() for i in keep.tolist()]
+            of = pa.array(text[keep])
+            yield pa.RecordBatch.from_arrays([piece.column("h").take(of), pa.array(rank[keep]), piece.column("k").take(of), pa.array(cut, pa.binary())], ["h", "place", "k", "symbols"])
 
-    Counts per label are exact and cover all rows; then each label keeps the share of rows whose hash is small enough.
+
+def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> list[tuple[bytes, str]]:
+    """(window, label) of at most ``PER_LANGUAGE`` rows or so of each label that may be learned from.
+
+    Counts per label are exact and cover all rows; then each label keeps the share of rows whose hash is small enough, at
+    least one row or so.
     """
-    rows = docs.where(~held_out(F.col(id_col)) & F.col(label_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = rows.groupBy(F.col(label_col).cast("string").alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "k").limit(labels).collect()
-    if not counts:
-        return []
-    share = F.create_map(*[F.lit(x) for r in counts for x in (r["k"], min(1.0, per_label / r["n"]))])
     label = F.col(label_col).cast("string")
-    drawn = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1_000_003)) < share[label] * 1_000_003
-    got = rows.where(drawn).select(F.xxhash64(F.lit("order"), id_col).alias("h"), label.alias("k"), F.col(text_col).alias("t"))
-    got = got.orderBy("h", "k", "t").limit(2 * per_label * len(counts)).collect()
-    return [(r["t"], r["k"]) for r in got]
+    known = docs.select(F.col(id_col).alias("i"), label.alias("k"), F.col(text_col).cast("string").alias("text"))
+    rows = known.where(~held_out(F.col("i")) & F.col("k").isNotNull() & F.col("text").isNotNull())
+    counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
+    if not languages:
+        return []
+    each = max(1, min(PER_LANGUAGE, WINDOWS // (WINDOWS_A_ROW * languages)))
+    shares = counts.select("k", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
+    drawn = rows.join(bounded(shares), "k").where(F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+    got = drawn.select(F.xxhash64(F.lit("order"), "i", "text").alias("h"), "k", "text").mapInArrow(_windows, "h long, place long, k string, symbols binary")
+    got = got.orderBy("h", "place", "k").limit(2 * each * WINDOWS_A_ROW * languages).collect()
+    return [(bytes(r["symbols"]), r["k"]) for r in got]
 
 
-def train(rows: list[tuple[str, str]]) -> Model | None:
+def train(rows: list[tuple[bytes, str]]) -> Model | None:
     if not rows:
         return None
     model = Model(sorted({k for _, k in rows}))
-    rng, symbols, label = np.random.default_rng(3), [], []
-    for text, k in rows:
-        data = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
-        own, _ = windows(data, np.array([0, len(data)]))
-        own = own[:, rng.permutation(own.shape[1])[:WINDOWS_A_ROW]]
-        symbols.append(own)
-        label.append(np.full(own.shape[1], model.languages.index(k)))
-    symbols, label = np.concatenate(symbols, 1), np.concatenate(label)
-    if not len(label):
-        return None
-    model.fit(symbols, label)
+    number = {k: i for i, k in enumerate(model.languages)}
+    symbols = np.frombuffer(b"".join(x for x, _ in rows), "<i2").reshape(-1, WINDOW).T
+    model.fit(symbols, np.array([number[k] for _, k in rows]))
     return model
 
 
@@ -167,22 +177,26 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """(doc_id, held_out, lang_pred, score): one row per document, labelled by its text alone.
 
     Null, empty and letter-less texts are ``und`` with score 0, and so is every text if there is no labelled row to
-    learn from. Null ids are never held out; repeated rows keep their rows; an empty table gives none.
+    learn from. Null ids are never held out; repeated rows keep their rows; equal texts have equal results; of equally likely
+    languages the first by name. A very long text is pooled window by window. Ids are cast to long. An empty table gives
+    none. Other columns, whatever their names, are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model = train(sample(docs, id_col, text_col, label_col, PER_LANGUAGE, LANGUAGES))
+    model = train(sample(docs, id_col, text_col, label_col))
     return source.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.4, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """Documents with a language whose pooled probability is at least ``least``; all columns, in one pass without a shuffle."""
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, label_col, PER_LANGUAGE, LANGUAGES)))
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
+    """Documents that ``identify`` does not call ``und``; all columns, whatever their names, in one pass without a shuffle.
+
+    Null, empty and letter-less texts go, and all rows if there is no labelled row to learn from; all others stay, repeated ones too.
+    """
+    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, label_col)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.bool_()), batch.column(text_col)], ["id", "held_out", "text"])
-            found = pa.Table.from_batches(list(_predict(model)(iter([own]))))
-            ok = (found["score"].to_numpy() >= least) & (found["lang_pred"].to_numpy() != UNKNOWN)
-            yield batch.filter(pa.array(ok))
+            found = [b.column("lang_pred").to_numpy(zero_copy_only=False) for b in _predict(model)(iter([own]))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0, object), *found]) != UNKNOWN, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)

@@ -1,12 +1,13 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling.
 
 Inputs of a step: the mean of the embeddings of a word and of its beginnings that several documents of the sample share
-(one embedding for all others) and the final states of a character network (itself bidirectional and gated) over the word's bytes; words of over ``LETTERS``
-bytes are several steps. One component of a word's embedding starts at how far its share of toxic documents differs from
-chance, so that a few hundred toxic documents are enough; all of it is trained on. All windows of ``WINDOW`` steps, every
-``STRIDE`` steps, are scored; attention pools a window's states. The document's logit is that of its highest window,
-calibrated together with the number of windows. Trained in numpy: as labels are those of documents, each round trains on
-the window that scores highest so far. The sample is bounded: ``PER_CLASS`` rows of each label.
+(one embedding for all others) and the final states of a character network (itself bidirectional and gated) over the word's bytes;
+words of over ``LETTERS`` bytes are several steps. All parameters start at random: what is known of toxicity is learned by the
+network. All windows of ``WINDOW`` steps, every ``STRIDE`` steps, are scored; attention pools a window's states. The document's
+logit is that of its highest window, calibrated together with the number of windows. Trained in numpy: as labels are those of
+documents, the first ``WARM`` rounds train on windows drawn at random from documents of both labels, and each later round on the
+window of each document that the network scores highest so far. The sample is bounded: ``PER_CLASS`` rows of each label, of
+each ``WINDOWS_A_ROW`` windows, which are cut on the executors; only they come to the driver.
 """
 
 from __future__ import annotations
@@ -24,15 +25,16 @@ from headwater.llm.shared import held_out
 
 WINDOW, STRIDE, LETTERS = 24, 12, 16
 VOCABULARY, EMBED, CHARS, HIDDEN, ATTEND = 8192, 8, 6, 8, 8
-#: Words of the vocabulary are in so many documents of the sample; standard deviations from chance below which a word says nothing.
-LEAST_DOCS, CHANCE = 3, 2.5
+#: Words of the vocabulary are in so many documents of the sample.
+LEAST_DOCS = 3
 #: Bytes of a unit's beginnings that have an embedding too, so that inflected and compound forms share what their stem says.
 STEMS = (4, 6, 8)
 #: Bounds of the training sample: rows of each label, and windows a row is cut into at most (spread over the text).
 PER_CLASS, WINDOWS_A_ROW = 1500, 48
-ROUNDS, STEPS, BATCH = 8, 40, 96
+ROUNDS, WARM, STEPS, BATCH = 8, 3, 60, 96
+RATE, DECAY = 0.016, 0.8
 #: Share of words whose characters a training step hides, and of shared words taken as unknown, so that neither input is relied on alone.
-HIDE_CHARS, HIDE_WORDS = 0.5, 0.1
+HIDE_CHARS, HIDE_WORDS = 0.3, 0.2
 CUT = 0.3
 
 
@@ -59,19 +61,13 @@ def keys(letters: np.ndarray) -> np.ndarray:
     return W.mix(W.mix(half[:, 0]) + half[:, 1])
 
 
-def vocabulary(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted keys, prior): words of ``LEAST_DOCS`` texts, the most frequent first, and their deviation from chance."""
-    text = np.repeat(np.arange(len(y)), np.diff(offsets))
-    pair = np.unique(text * len(letters) + number)
-    docs = [np.bincount(pair[y[pair // len(letters)] == k] % len(letters), minlength=len(letters)) if len(pair) else np.zeros(len(letters), np.int64) for k in (0, 1)]
-    total, key = docs[0] + docs[1], keys(letters)
+def vocabulary(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Sorted keys of the units that ``LEAST_DOCS`` texts have, of the ``VOCABULARY`` most frequent."""
+    text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    pair = np.unique(text * max(len(letters), 1) + number)
+    total, key = np.bincount(pair % len(letters), minlength=len(letters)) if len(letters) else np.zeros(0, np.int64), keys(letters)
     used = np.lexsort((key, -total))[:VOCABULARY]
-    used = used[total[used] >= LEAST_DOCS]
-    used = used[np.argsort(key[used])]
-    n1 = y.sum()
-    n0, share = len(y) - n1, total[used] / len(y)
-    z = (docs[1][used] / n1 - docs[0][used] / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    return key[used], np.sign(z) * np.clip(np.abs(z) - CHANCE, 0, 5) / 4
+    return np.sort(key[used[total[used] >= LEAST_DOCS]])
 
 
 def stems(letters: np.ndarray, size: int) -> np.ndarray:
@@ -79,13 +75,13 @@ def stems(letters: np.ndarray, size: int) -> np.ndarray:
     return letters * (np.arange(LETTERS) < size)
 
 
-def vocabularies(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+def vocabularies(letters: np.ndarray, number: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """``vocabulary`` of the whole units, then of the stems of each length."""
-    out = [vocabulary(letters, number, offsets, y)]
+    out = [vocabulary(letters, number, offsets)]
     for size in STEMS:
         own = stems(letters, size)
         _, first, inverse = np.unique(keys(own), return_index=True, return_inverse=True)
-        out.append(vocabulary(own[first], inverse[number], offsets, y))
+        out.append(vocabulary(own[first], inverse[number], offsets))
     return out
 
 
@@ -99,10 +95,10 @@ def cut(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Model:
-    def __init__(self, vocabs: list[tuple[np.ndarray, np.ndarray]], seed: int = 5):
-        """``vocabs``: (sorted keys, prior) of the whole units and of the stems of each length."""
+    def __init__(self, vocabs: list[np.ndarray], seed: int = 5):
+        """``vocabs``: sorted keys of the whole units and of the stems of each length."""
         rng = np.random.default_rng(seed)
-        self.vocabs = [v for v, _ in vocabs]
+        self.vocabs = vocabs
         self.offsets = np.cumsum([0, *(len(v) + 1 for v in self.vocabs)])
         D = EMBED + 2 * CHARS
         self.params = {
@@ -110,7 +106,6 @@ class Model:
             "W": N.init(rng, 2, D, 3 * HIDDEN, scale=0.3), "b": np.zeros((2, 3 * HIDDEN), N.F32), "U": N.init(rng, 2, HIDDEN, 3 * HIDDEN),
             "A": N.init(rng, 2 * HIDDEN, ATTEND), "a": N.init(rng, ATTEND), "v": N.init(rng, 2 * HIDDEN), "c": np.zeros(1, N.F32),
         }
-        self.params["words"][:, 0] = np.concatenate([np.append(prior, 0) for _, prior in vocabs])
         self.scale = np.array([1.0, 0.0, 0.0])  # of the highest logit, of the log of the windows' number, constant
 
     def rank(self, letters: np.ndarray) -> np.ndarray:
@@ -240,34 +235,70 @@ class Model:
     empty = -3.0
 
 
+def learnable(texts: pa.Array) -> Iterator[tuple[bytes, int]]:
+    """Of each text the units to learn from, ``LETTERS`` bytes each, and the number of all its windows.
+
+    A text of at most ``WINDOWS_A_ROW`` windows is taken whole; of a longer one so many windows are taken, spread over
+    it and put one after another, each of ``WINDOW`` units.
+    """
+    letters, number, offsets = units(texts)
+    start, text = cut(offsets)
+    first = np.searchsorted(text, np.arange(len(offsets)))
+    for d in range(len(offsets) - 1):
+        own = start[first[d] : first[d + 1]]
+        if len(own) <= WINDOWS_A_ROW:
+            taken = number[offsets[d] : offsets[d + 1]]
+        else:
+            some = own[np.arange(WINDOWS_A_ROW) * len(own) // WINDOWS_A_ROW]
+            taken = number[some[:, None] + np.arange(WINDOW)].ravel()
+        yield letters[taken].tobytes(), len(own)
+
+
 def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     """From (text, label) rows; ``share`` is that of label 1 among all labelled rows, for the calibration."""
-    y = np.array([k for _, k in rows], np.float64)
+    got = list(learnable(pa.array([t or "" for t, _ in rows], pa.string()))) if rows else []
+    return fit([(u, n, y) for (u, n), (_, y) in zip(got, rows, strict=True)], share)
+
+
+def fit(rows: list[tuple[bytes, int, int]], share: float) -> Model | None:
+    """From (units, number of windows, label) rows, see ``learnable``."""
+    y = np.array([k for *_, k in rows], np.float64)
     if not len(y) or y.min() == y.max():
         return None
     rng = np.random.default_rng(13)
-    letters, number, offsets = units(pa.array([t or "" for t, _ in rows]))
-    model = Model(vocabularies(letters, number, offsets, y))
-    start, text = cut(offsets)
-    total = np.bincount(text, minlength=len(rows))
-    rank = np.arange(len(text)) - np.repeat(np.cumsum(total) - total, total)
-    keep = rank * WINDOWS_A_ROW // np.maximum(total[text], WINDOWS_A_ROW) != (rank - 1) * WINDOWS_A_ROW // np.maximum(total[text], WINDOWS_A_ROW)
-    start, text = start[keep], text[keep]
+    every = np.frombuffer(b"".join(u for u, *_ in rows), np.uint8).reshape(-1, LETTERS)
+    _, one, number = np.unique(keys(every), return_index=True, return_inverse=True)
+    letters, offsets = every[one], np.concatenate([[0], np.cumsum([len(u) // LETTERS for u, *_ in rows])])
+    model = Model(vocabularies(letters, number, offsets))
+    total = np.array([n for _, n, _ in rows])
+    # A window of a text taken whole starts every STRIDE units, else every WINDOW units, where windows were put together.
+    starts = [np.arange(WINDOWS_A_ROW) * WINDOW if n > WINDOWS_A_ROW else cut(np.array([0, size]))[0] for n, size in zip(total.tolist(), np.diff(offsets).tolist(), strict=True)]
+    text = np.repeat(np.arange(len(rows)), [len(x) for x in starts])
+    start = np.concatenate(starts).astype(np.int64) + offsets[:-1][text]
     end = offsets[1:][text]
+    if not len(start):
+        return model
     padded = np.concatenate([letters, np.zeros((1, LETTERS), np.uint8)])
-    adam = N.Adam(model.params, 0.012)
-    before = np.concatenate([[0], np.cumsum(model.params["words"][:, 0][model.rank(letters)].mean(1)[number])])
-    hint = before[np.minimum(start + WINDOW, end)] - before[start]
+    adam = N.Adam(model.params, RATE)
+    first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(rows)))])
+    docs = [np.flatnonzero((np.diff(first) > 0) & (y == k)) for k in (0, 1)]
+
+    def any_window(label: int, n: int) -> np.ndarray:
+        d = rng.choice(docs[label], n) if len(docs[label]) else docs[label]
+        return first[d] + (rng.random(len(d)) * (first[d + 1] - first[d])).astype(np.int64)
+
     for r in range(ROUNDS):
-        adam.rate = 0.016 * 0.8**r
-        logit = model.logits(letters, number, start, end) if r else hint
-        order = np.lexsort((-logit, text))
-        top = order[np.concatenate([[True], np.diff(text[order]) != 0])] if len(order) else order
-        high, low = top[y[text[top]] == 1], top[y[text[top]] == 0]
-        spare = np.flatnonzero(y[text] == 0)
+        adam.rate = RATE * DECAY**r
+        if r >= WARM:
+            logit = model.logits(letters, number, start, end)
+            order = np.lexsort((-logit, text))
+            top = order[np.concatenate([[True], np.diff(text[order]) != 0])]
+            high, low = top[y[text[top]] == 1], top[y[text[top]] == 0]
         for _ in range(STEPS):  # both labels alike, and as many steps whatever the sample's size
-            half = [rng.choice(x, BATCH // k) for x, k in ((high, 2), (low, 3), (spare, 6)) if len(x)]
-            b = np.concatenate(half) if half else top[:0]
+            if r < WARM:
+                b = np.concatenate([any_window(1, BATCH // 2), any_window(0, BATCH // 2)])
+            else:
+                b = np.concatenate([*(rng.choice(x, BATCH // k) for x, k in ((high, 2), (low, 3)) if len(x)), any_window(0, BATCH // 6)])
             place = start[b] + np.arange(WINDOW)[:, None]
             there = place < end[b]
             unit = np.where(there, number[np.minimum(place, len(number) - 1)], len(letters))
@@ -275,9 +306,8 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     # Calibration on the documents of the sample, weighted to the true share.
     logit = model.logits(letters, number, start, end)
     high = np.full(len(rows), model.empty)
-    if len(text):
-        first = np.flatnonzero(np.concatenate([[True], np.diff(text) != 0]))
-        high[text[first]] = np.maximum.reduceat(logit, first)
+    begin = np.flatnonzero(np.concatenate([[True], np.diff(text) != 0]))
+    high[text[begin]] = np.maximum.reduceat(logit, begin)
     x = np.stack([high, np.log(np.maximum(total, 1)), np.ones(len(y))], 1)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
     s = np.array([0.5, 0.0, 0.0])
@@ -291,18 +321,31 @@ def train(rows: list[tuple[str, int]], share: float) -> Model | None:
     return model
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[str, int]], float]:
-    """Bounded sample of both labels and the share of label 1 over all labelled rows that may be learned from."""
-    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(F.col(id_col))).groupBy(F.col(id_col)).agg(F.max(label_col).cast("int").alias("y"))
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for piece in W.pieces(batch, "text"):
+            got = list(learnable(W.as_strings(piece.column("text"))))
+            yield pa.RecordBatch.from_arrays([piece.column("h"), pa.array([u for u, _ in got], pa.binary()), pa.array([n for _, n in got], pa.int64()), piece.column("y")], ["h", "units", "n", "y"])
+
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[list[tuple[bytes, int, int]], float]:
+    """Bounded sample of both labels, as ``learnable`` cuts it, and the share of label 1 among all labelled rows that may be learned from.
+
+    At most 3 * PER_CLASS rows (ids may repeat) of at most WINDOWS_A_ROW * WINDOW * LETTERS bytes come to the driver, never a whole long text.
+    """
+    known = labels.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
+    rows = known.where(F.col("y").isin(0, 1) & F.col("id").isNotNull() & ~held_out(F.col("id"))).groupBy("id").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) < 2:
         return [], 0.5
     drawn = None
     for y in (0, 1):
-        part = rows.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), id_col), id_col).limit(PER_CLASS)
+        part = rows.where(F.col("y") == y).orderBy(F.xxhash64(F.lit("toxic"), "id"), "id").limit(PER_CLASS)
         drawn = part if drawn is None else drawn.unionByName(part)
-    got = docs.join(F.broadcast(drawn), id_col).select(F.xxhash64(F.lit("order"), id_col).alias("h"), "y", F.col(text_col).alias("t")).orderBy("h", "t").limit(3 * PER_CLASS).collect()
-    return [(r["t"], r["y"]) for r in got], counts[1] / (counts[0] + counts[1])
+    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    found = source.join(F.broadcast(drawn), "id").select(F.xxhash64(F.lit("order"), "id", "text").alias("h"), "text", "y")
+    got = found.mapInArrow(_windows, "h long, units binary, n long, y int").orderBy("h", "n", "y").limit(3 * PER_CLASS).collect()
+    return [(bytes(r["units"]), r["n"], r["y"]) for r in got], counts[1] / (counts[0] + counts[1])
 
 
 def _score(model):
@@ -322,9 +365,11 @@ def _score(model):
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """(doc_id, held_out, score, predicted): one row per document, scored by its text alone.
 
-    Null and empty texts get the score of a text without any window. Without rows of both labels every score is 0. If an id
-    has several labels the highest counts. Null ids are never held out; repeated rows keep their rows.
+    Null, empty and word-less texts get the score of a text without any window. Without rows of both labels every score is 0. If an id
+    has several labels the highest counts. Null ids are never held out; repeated rows keep their rows; equal texts have
+    equal scores. A very long text is scored window by window. Ids are cast to long. An empty table gives none. Other
+    columns of either table, whatever their names, are not read.
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model = train(*sample(docs, labels, id_col, text_col, label_col))
+    model = fit(*sample(docs, labels, id_col, text_col, label_col))
     return source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int")
