@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
+from headwater.llm.shared import fresh
 
 #: Longer texts are encoded in parts of about so many characters.
 PART = 1 << 16
@@ -52,27 +53,36 @@ def decode(enc, ids: np.ndarray) -> bytes:
     return enc.decode_bytes(ids.tolist())
 
 
-def bpe(docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
-    """The columns ``keep`` and n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids (binary, little-endian uint32) and decoded (binary).
+def bpe(
+    docs: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False, with_decoded: bool | None = None
+) -> DataFrame:
+    """The columns ``keep`` and n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids and, unless that is off, decoded (binary).
 
-    The rank file is read once per Python worker from a path that every executor has. Null text: empty (no ids).
-    Control strings in a text are ordinary text. Repeated rows give repeated rows; an empty table gives none.
+    ids are little-endian 32-bit integers. The rank file is read once per Python worker from a path that every executor has.
+    Null text: empty (no ids). Control strings in a text are ordinary text. A very long text is encoded in parts. Equal texts have
+    equal results; repeated rows give repeated rows; ids of any type pass. An empty table gives none. A kept column that has the name of
+    one of the operator's own gives way to it; other clashes do no harm.
     """
-    source = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
-    added += [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())] if with_ids else []
+    more = [("ids", with_ids), ("decoded", with_ids if with_decoded is None else with_decoded)]
+    added += [T.StructField(k, T.BinaryType()) for k, wanted in more if wanted]
+    own = {f.name.lower() for f in added}
+    text = fresh(docs, "_text")
+    source = docs.select(*[F.col(f"`{k}`") for k in keep if k.lower() not in own], F.col(text_col).cast("string").alias(text))
+    kinds = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string(), "ids": pa.binary(), "decoded": pa.binary()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoding(ranks_path, pattern)
         for batch in batches:
-            for piece in W.pieces(batch, "_text", 4 * W.PIECE):
-                rows = []
-                for text in piece.column("_text"):
-                    ids = encode(enc, text.as_py() or "")
+            for piece in W.pieces(batch, text, 4 * W.PIECE):
+                out: dict[str, list] = {f.name: [] for f in added}
+                for value in piece.column(text):
+                    ids = encode(enc, value.as_py() or "")
                     raw, back = ids.tobytes(), decode(enc, ids)
-                    rows.append((len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest(), raw, back)[: len(added)])
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.binary(), pa.binary()]
-                own = piece.drop_columns(["_text"])
-                yield pa.RecordBatch.from_arrays([*own.columns, *(pa.array([r[i] for r in rows], kinds[i]) for i in range(len(added)))], [*own.schema.names, *(f.name for f in added)])
+                    row = {"n_tokens": len(ids), "ids_sha256": hashlib.sha256(raw).hexdigest(), "decoded_sha256": hashlib.sha256(back).hexdigest(), "ids": raw, "decoded": back}
+                    for k, column in out.items():
+                        column.append(row[k])
+                kept = piece.drop_columns([text])
+                yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, kinds[k]) for k, v in out.items())], [*kept.schema.names, *out])
 
-    return source.mapInArrow(run, T.StructType([*source.drop("_text").schema.fields, *added]))
+    return source.mapInArrow(run, T.StructType([*source.drop(text).schema.fields, *added]))

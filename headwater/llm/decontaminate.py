@@ -23,7 +23,7 @@ from headwater.llm import words as W
 THRESHOLD = 0.8
 RADIUS = 19
 BLOCKS, BLOCK_BITS = 4, 16
-#: Items per index: its lists then take about 10 MB. More items are matched block after block.
+#: Items per index: its four lists then take about 10 MB each. More items are matched block after block.
 ITEMS = 1024
 
 _BITS = np.arange(64, dtype=np.uint64)
@@ -145,7 +145,7 @@ def _scan(index):
 
 def _indexes(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Index]:
     """The items in blocks of at most ``ITEMS``."""
-    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null")
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text).cast("string").alias("t")).where("i is not null or t is not null")
     total = items.count()
     blocks = max(1, -(-total // (ITEMS // 2)))  # hash blocks come out uneven
     for b in range(blocks):
@@ -160,9 +160,10 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     """(doc_id, item_id, similarity, first_word, last_word): the best window of each document and item that match.
 
     The items are a stated query set: they go to the executors in blocks of at most ``ITEMS``, each against all
-    documents. Null and word-less texts match nothing; a null item id is passed over, and so is a null document id's
-    name (it stays null). Repeated rows give repeated matches, but for one match per item; ties keep the first window.
-    An empty table on either side gives no rows. Items of one to four words match only texts of just these words.
+    documents. Null, empty and word-less texts match nothing; null ids of items and documents stay null in the matches.
+    Repeated rows give repeated matches, one per item and document; ties keep the first window. A very long text is one
+    piece, whose windows are looked at in blocks. Ids are cast to long. An empty table on either side gives no rows. Items of one to
+    four words match only texts of just these words. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

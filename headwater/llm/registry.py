@@ -21,26 +21,32 @@ def tokenizer() -> tuple[str, str]:
 
 
 def op1_pii_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    """Surrogates in every document; see ``pii.pseudonymise`` for nulls, ids, ties, repeats and empty tables."""
     return pii.pseudonymise(table(spark, d, "documents"), PII_KEY)
 
 
 def op2_ngram_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
+    """Class and number of links of every document; see ``near.ngram_jaccard_join``."""
     return near.ngram_jaccard_join(table(spark, d, "documents"))
 
 
 def op3_decontaminate(spark: SparkSession, d: str) -> DataFrame:
+    """Benchmark items found in any document; see ``decontaminate.find_benchmark``."""
     return decontaminate.find_benchmark(table(spark, d, "documents"), table(spark, d, "benchmark"))
 
 
 def op4_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    """Toxicity of every document; see ``toxicity.score_toxicity``."""
     return toxicity.score_toxicity(table(spark, d, "documents"), table(spark, d, "labels"))
 
 
 def op5_licences(spark: SparkSession, d: str) -> DataFrame:
+    """Licence phrases and templates of every document; see ``licences.scan_licences``."""
     return licences.scan_licences(table(spark, d, "documents")).drop("spans")
 
 
 def op6_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    """Digests of every conversation, and of one more, read back from the formatted text; see ``chat.format_chat``."""
     same = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", same), (-7, 1, "assistant", same)], "conv_id long, turn long, role string, text string")
     rows = table(spark, d, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
@@ -48,18 +54,22 @@ def op6_chat_format(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op7_order_minhash(spark: SparkSession, d: str) -> DataFrame:
+    """Fingerprints of every document, its edited text and its next document; see ``fingerprint.compare_edits``."""
     return fingerprint.compare_edits(table(spark, d, "documents"))
 
 
 def op8_span_dedup(spark: SparkSession, d: str) -> DataFrame:
+    """Every document without repeated sentences; see ``spans.dedup_spans``."""
     return spans.dedup_spans(table(spark, d, "documents"))
 
 
 def op9_bpe(spark: SparkSession, d: str) -> DataFrame:
+    """Tokens of every document; see ``bpe.bpe``."""
     return bpe.bpe(table(spark, d, "documents"), *tokenizer())
 
 
 def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
+    """Language of every document; see ``language.identify``."""
     return language.identify(table(spark, d, "documents"))
 
 

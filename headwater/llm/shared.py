@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from headwater.session import set_checkpoint_folder
+
 #: Rows of long identifiers that may be broadcast after they were counted: under 10 MB as a hash table.
 BROADCAST_ROWS = 100_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the folder that the session names; one of our own only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="headwater-llm-"))
+    """A reliable checkpoint in the shared folder; an error on a cluster whose session names none."""
+    set_checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
