@@ -7,32 +7,47 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from headwater.llm import bpe, decontaminate, language, near, pii, registry
-from headwater.session import table
+from headwater.session import set_checkpoint_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognised language (no letters, or no confident one) go."""
+    """Documents that language identification calls und go: null, empty and letter-less texts, and all if no row has a language.
+
+    All others stay with all their columns, repeated rows and null ids too. An empty table gives none; column names may clash.
+    """
     return language.keep_identified(docs)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: that of the least id (null ids last, ties by a hash of the text).
+
+    Texts without words all stay; a repeated row stays once. An empty table gives none; column names may clash.
+    """
     return near.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go, whatever their ids.
+
+    Null and empty texts stay, and so do repeated clean rows. With an empty benchmark all stay; an empty table gives none.
+    """
     return decontaminate.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data give way to surrogates."""
+    """Personal data give way to surrogates; n_chars follows. No row goes.
+
+    Null and empty texts stay as they are, repeated rows stay alike. An empty table gives none; column names may clash.
+    """
     return pii.rewrite(docs, registry.PII_KEY)
 
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of the ids and of the decoded bytes."""
-    return bpe.bpe(docs, *registry.tokenizer(), keep=("doc_id", "lang", "source", "n_chars"))
+    """All columns with the token ids (little-endian 32-bit), their number, and digests of the ids and of the decoded bytes.
+
+    Null text: no ids. A column of the name of one of these gives way to it. An empty table gives none.
+    """
+    return bpe.bpe(docs, *registry.tokenizer(), keep=tuple(docs.columns), with_ids=True, with_decoded=False)
 
 
 STAGES = [
@@ -47,21 +62,23 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of our own only where none is named."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder is None:
-        import tempfile
-
-        folder = tempfile.mkdtemp(prefix="corpus-pipeline-")
-    return f"{folder}/pipeline-{uuid.uuid4().hex}"
+def _remove(spark: SparkSession, path: str) -> None:
+    """A stage's folder in the shared store, once the next stage is written."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each is written as Parquet and read again as the next one's input."""
-    docs, folder = table(spark, sf_dir, "documents"), _scratch(spark)
+    """All stages over ``documents``; each is written as Parquet and read again as the next one's input.
+
+    The folder is the one that spark.checkpoint.dir names (on a cluster it has to). A stage's files go when the next
+    stage's are whole; those of the last stay, as the result reads them.
+    """
+    docs, folder, before = table(spark, sf_dir, "documents"), f"{set_checkpoint_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for number, (name, stage) in enumerate(STAGES):
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        if before:
+            _remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
