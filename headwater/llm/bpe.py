@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
-from headwater.llm.shared import fresh
+from headwater.llm.shared import fresh, tidy
 
 #: Longer texts are encoded in parts of about so many characters.
 PART = 1 << 16
@@ -85,4 +85,4 @@ def bpe(
                 kept = piece.drop_columns([text])
                 yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(v, kinds[k]) for k, v in out.items())], [*kept.schema.names, *out])
 
-    return source.mapInArrow(run, T.StructType([*source.drop(text).schema.fields, *added]))
+    return source.mapInArrow(tidy(run), T.StructType([*source.drop(text).schema.fields, *added]))

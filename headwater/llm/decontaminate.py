@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
+from headwater.llm.shared import tidy
 
 THRESHOLD = 0.8
 RADIUS = 19
@@ -169,7 +170,7 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema, out = "doc_id long, item_id long, similarity double, first_word long, last_word long", None
     for index in _indexes(benchmark, item_col, item_text):
-        found = source.mapInArrow(_scan(spark.sparkContext.broadcast(index)), schema)
+        found = source.mapInArrow(tidy(_scan(spark.sparkContext.broadcast(index))), schema)
         out = found if out is None else out.unionByName(found)
     return spark.createDataFrame([], schema) if out is None else out
 
@@ -192,5 +193,5 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """Rows in whose text no benchmark item was found, with all their columns; ids play no part, so null and repeated ones need no care."""
     out = docs
     for index in _indexes(benchmark, "item_id", "text"):
-        out = out.mapInArrow(_without(docs.sparkSession.sparkContext.broadcast(index), text_col), docs.schema)
+        out = out.mapInArrow(tidy(_without(docs.sparkSession.sparkContext.broadcast(index), text_col)), docs.schema)
     return out

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
-from headwater.llm.shared import bounded, cut
+from headwater.llm.shared import bounded, cut, tidy
 
 #: Members of a large bucket that are looked at, how alike (share of signature) and how many of them show a dense group.
 PICKS, ALIKE, DENSE = 32, 0.5, 8
@@ -143,7 +143,7 @@ def _signed(signature: Callable[[np.ndarray], np.ndarray]):
     return signed
 
 
-def centres(large: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame], signature: Callable[[np.ndarray], np.ndarray], level: int) -> tuple[DataFrame, DataFrame] | None:
+def centres(large: DataFrame, members: DataFrame, sets_of: Callable[..., DataFrame], signature: Callable[[np.ndarray], np.ndarray], level: int) -> tuple[DataFrame, DataFrame] | None:
     """(path, centre) and (centre, middle, size, csig) of the dense groups in ``large`` (path, rep); None if there is none.
 
     Picks are the records of least hash in each of ``PICKS`` bins, the same whatever the bucket, so the buckets of one
@@ -153,16 +153,16 @@ def centres(large: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame],
     picked = large.groupBy("path", F.pmod(order, F.lit(PICKS)).alias("bin")).agg(F.min(F.struct(order.alias("h"), "rep")).alias("x"))
     picked = members.select("rep", "sig").join(bounded(cut(picked.select("path", "x.h", "x.rep"))), "rep")
     picked = picked.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("h", "rep", "sig"))).alias("picks"))
-    found = picked.mapInArrow(_medoids, "path long, centre long, rep long")
+    found = picked.mapInArrow(tidy(_medoids), "path long, centre long, rep long")
     # A centre is another one at another level, as its picks are.
     found = cut(found.withColumn("centre", F.shiftrightunsigned(F.xxhash64(F.lit(level), "centre"), 1)))
     if found.isEmpty():
         return None
     own = found.select("centre", "rep").distinct()
     half = own.groupBy("centre").agg(F.count(F.lit(1)).alias("picks"))
-    tokens = sets_of(own).select("centre", "members").mapInArrow(_spread, "centre long, token long").groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"))
+    tokens = sets_of(own, _spread, "centre long, token long").groupBy("centre", "token").agg(F.count(F.lit(1)).alias("n"))
     tokens = tokens.join(half, "centre").where("2 * n >= picks").groupBy("centre").agg(F.collect_list("token").alias("tokens"))
-    middles = cut(tokens.mapInArrow(_signed(signature), "centre long, middle binary, size long, csig binary"))
+    middles = cut(tokens.mapInArrow(tidy(_signed(signature)), "centre long, middle binary, size long, csig binary"))
     same = cut(middles.groupBy(F.sha2("middle", 256).alias("k")).agg(F.min("centre").alias("one"), F.collect_list("centre").alias("all")).select("one", F.explode("all").alias("centre")))
     paths = found.select("path", "centre").distinct().join(same, "centre").select("path", F.col("one").alias("centre"))
     return cut(paths), cut(middles.join(same.where("one = centre").select("centre"), "centre"))
@@ -200,14 +200,14 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def measured(large: DataFrame, paths: DataFrame, middles: DataFrame, members: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def measured(large: DataFrame, paths: DataFrame, middles: DataFrame, members: DataFrame, sets_of: Callable[..., DataFrame]) -> DataFrame:
     """Core and ring of each centre among the records of its buckets: each record against each centre once, exactly."""
     total = middles.agg(F.sum("size")).first()[0] or 0
     small = (lambda df: F.broadcast(df)) if total <= BROADCAST_SHINGLES else (lambda df: df)
     pairs = cut(large.select("path", "rep").join(bounded(paths), "path").select("rep", "centre").distinct())
-    near = members.select("rep", "sig").join(bounded(pairs), "rep").join(small(middles.select("centre", "csig")), "centre").select("rep", "centre", "sig", "csig").mapInArrow(_close, "rep long, centre long")
-    sets = sets_of(members.select("rep", "n", "copies").join(bounded(cut(near)), "rep"))
-    return cut(sets.join(small(middles.select("centre", "middle", "size")), "centre").mapInArrow(_measure, _MEASURED))
+    near = members.select("rep", "sig").join(bounded(pairs), "rep").join(small(middles.select("centre", "csig")), "centre").select("rep", "centre", "sig", "csig").mapInArrow(tidy(_close), "rep long, centre long")
+    rows = members.select("rep", "n", "copies").join(bounded(cut(near)), "rep")
+    return cut(sets_of(rows, _measure, _MEASURED, small(middles.select("centre", "middle", "size"))))
 
 
 # Counting.
@@ -308,8 +308,8 @@ def count_links(rows: DataFrame, core: DataFrame) -> DataFrame:
         some(~own & ~free, 1).alias("others"),
     ))
     ordered = classes.repartition("centre").sortWithinPartitions("centre", "s")
-    sure = cut(ordered.mapInArrow(_certain, "centre long, s long, first long, parts long, core_texts long, core_docs long, free_texts long, free_docs long"))
-    cells = cut(ordered.mapInArrow(_cells, "centre long, ci long, cj long, block long"))
+    sure = cut(ordered.mapInArrow(tidy(_certain), "centre long, s long, first long, parts long, core_texts long, core_docs long, free_texts long, free_docs long"))
+    cells = cut(ordered.mapInArrow(tidy(_cells), "centre long, ci long, cj long, block long"))
     hub = lambda kind: F.min(F.when(kind, F.struct("s", "rep")))
     hubs = cut(rows.groupBy("centre").agg(hub(own).alias("inner"), hub(free).alias("outer")))
 
@@ -326,5 +326,5 @@ def count_links(rows: DataFrame, core: DataFrame) -> DataFrame:
     more = linked.where("b is not null").select("rep", F.col("b").alias("root"), F.lit(0).cast("long").alias("texts"), F.lit(0).cast("long").alias("docs"))
 
     full = placed.select("centre", "block", "rep", "s", "size", "copies", "core", "centres", "diff").join(cells, ["centre", "block"])
-    compared = full.repartition("centre", "ci", "cj").sortWithinPartitions("centre", "ci", "cj").mapInArrow(_compare, "rep long, root long, texts long, docs long")
+    compared = full.repartition("centre", "ci", "cj").sortWithinPartitions("centre", "ci", "cj").mapInArrow(tidy(_compare), "rep long, root long, texts long, docs long")
     return certain.unionByName(more).unionByName(compared)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from headwater.llm import neural as N
 from headwater.llm import words as W
-from headwater.llm.shared import bounded, held_out
+from headwater.llm.shared import bounded, held_out, tidy
 
 WINDOW, HIDDEN, PAD = 96, 8, 256
 #: Bounds of the training sample: rows of each language, windows a row gives at most, and windows in all (10 MB), whatever the number of languages.
@@ -132,7 +132,7 @@ def sample(docs: DataFrame, id_col: str, text_col: str, label_col: str) -> list[
     each = max(1, min(PER_LANGUAGE, WINDOWS // (WINDOWS_A_ROW * languages)))
     shares = counts.select("k", F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")).alias("share"))
     drawn = rows.join(bounded(shares), "k").where(F.pmod(F.xxhash64(F.lit("sample"), "i"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
-    got = drawn.select(F.xxhash64(F.lit("order"), "i", "text").alias("h"), "k", "text").mapInArrow(_windows, "h long, place long, k string, symbols binary")
+    got = drawn.select(F.xxhash64(F.lit("order"), "i", "text").alias("h"), "k", "text").mapInArrow(tidy(_windows), "h long, place long, k string, symbols binary")
     got = got.orderBy("h", "place", "k").limit(2 * each * WINDOWS_A_ROW * languages).collect()
     return [(bytes(r["symbols"]), r["k"]) for r in got]
 
@@ -183,7 +183,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     model = train(sample(docs, id_col, text_col, label_col))
-    return source.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, lang_pred string, score double")
+    return source.mapInArrow(tidy(_predict(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
@@ -199,4 +199,4 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             found = [b.column("lang_pred").to_numpy(zero_copy_only=False) for b in _predict(model)(iter([own]))]
             yield batch.filter(pa.array(np.concatenate([np.zeros(0, object), *found]) != UNKNOWN, pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(tidy(keep), docs.schema)

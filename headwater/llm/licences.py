@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
+from headwater.llm.shared import tidy
 
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -256,4 +257,4 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     score: 1 with a base phrase, else the largest share of a template that a span covers. Null, empty and word-less
     texts: zeros, nulls and empty labels. Null ids and repeated rows keep their rows; an empty table gives none.
     """
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(_scan, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_scan), SCHEMA)

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from headwater.llm import dense
 from headwater.llm import words as W
 from headwater.llm.dense import matrix as _matrix
-from headwater.llm.shared import bounded, components, cut, fresh
+from headwater.llm.shared import bounded, components, cut, fresh, tidy
 
 THRESHOLD = 0.8
 TOKENS = 96
@@ -221,24 +221,27 @@ def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(sketch: id, h, k1, k2, n, sig; named: k1, k2, n, rep, root, id, h, copies, texts, docs): see ``ngram_jaccard_join``."""
     runs = runs_needed()
-    sketch = cut(source.mapInArrow(_sketch, _SKETCH))
+    sketch = cut(source.mapInArrow(tidy(_sketch), _SKETCH))
     least = F.min(F.struct(F.col("id").isNull().alias("null"), "id", "h"))
     grouped = sketch.where("n > 0").groupBy(*_SET).agg(least.alias("x"), F.count(F.lit(1)).alias("copies"), F.first("sig").alias("sig"))
     members = cut(grouped.select(*_SET, "x.id", "x.h", "copies", "sig", F.monotonically_increasing_id().alias("rep")))
 
-    def sets_of(rows: DataFrame) -> DataFrame:
-        """``rows`` (with rep) and their shingle sets."""
+    def sets_of(rows: DataFrame, then=None, schema: str | None = None, beside=None) -> DataFrame:
+        """``rows`` (with rep), joined with ``beside`` if given, and their shingle sets; or what ``then`` makes of these in the same worker."""
         known = members.select("rep", F.coalesce("id", F.lit(0)).alias("id0"), "h", "k1", "k2")
         asked = cut(known.join(bounded(rows), "rep").withColumn("row", F.monotonically_increasing_id()))
         texts = source.select(F.coalesce("id", F.lit(0)).alias("id0"), "h", "text").join(bounded(asked), ["id0", "h"]).drop("id0", "h")
-        kept = rows.select(*(F.col(c) for c in texts.columns if c not in ("text", "k1", "k2", "row"))).schema
-        return texts.mapInArrow(_with_sets, kept.add("members", "binary"))
+        texts = texts if beside is None else texts.join(beside, "centre")
+        if then is not None:
+            return texts.mapInArrow(tidy(_with_sets, then), schema)
+        kept = texts.drop("text", "k1", "k2", "row").schema
+        return texts.mapInArrow(tidy(_with_sets), kept.add("members", "binary"))
 
     # Paths, level by level: only buckets that are still too large go on, without the cores of their centres.
     level, leaves, rows = 1, None, members.select("rep", "sig")
     core, measured = None, None
     while True:
-        followed = cut(rows.mapInArrow(_split(level, runs), "path long, rep long, parent long"))
+        followed = cut(rows.mapInArrow(tidy(_split(level, runs)), "path long, rep long, parent long"))
         sizes = cut(followed.groupBy("path").agg(F.count(F.lit(1)).alias("m")).where("m > 1"))
         dealt = cut(followed.join(sizes, "path").select("path", "rep", "parent", "m"))
         large = dealt.where(F.col("m") > LIMIT)
@@ -284,8 +287,8 @@ def _joined(source: DataFrame) -> tuple[DataFrame, DataFrame]:
         .select(F.col("path").alias("leaf"), F.least("side", "other").alias("ci"), F.greatest("side", "other").alias("cj"), "side", "rep")
     )
     full = cells.join(info, "rep").select(*_KEPT, "sig")
-    near = cut(full.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_candidates, _KINDS))
-    links = sets_of(near).repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(_verify, _FOUND)
+    near = cut(full.repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(tidy(_candidates), _KINDS))
+    links = sets_of(near).repartition(*_CELL).sortWithinPartitions(*_CELL).mapInArrow(tidy(_verify), _FOUND)
     found = cut(links if measured is None else links.unionByName(dense.count_links(measured, cores)))
 
     counts = found.groupBy("rep").agg(F.sum("texts").alias("texts"), F.sum("docs").alias("docs"))

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +15,23 @@ from headwater.session import set_checkpoint_folder
 BROADCAST_ROWS = 100_000
 
 
+def tidy(*steps: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The steps one after another in one Python worker, which then gives its free memory back: workers live on through later stages."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps:
+            batches = step(batches)
+        try:
+            yield from batches
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder; an error on a cluster whose session names none."""
     set_checkpoint_folder(df.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from headwater.llm import words as W
-from headwater.llm.shared import bounded, cut
+from headwater.llm.shared import bounded, cut, tidy
 
 LEAST_SENTENCES, LEAST_WORDS, LONGEST = 2, 16, 12
 REACH = 4
@@ -136,7 +136,7 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Common runs are pre-aggregated before the shuffle; the join back is left to AQE's splitting of hot keys.
     """
     source = _keyed(docs, id_col, text_col)
-    spans = source.select("key", "text").mapInArrow(_spans, f"h1 long, h2 long, key {_KEY}, place int")
+    spans = source.select("key", "text").mapInArrow(tidy(_spans), f"h1 long, h2 long, key {_KEY}, place int")
     first = spans.groupBy("h1", "h2").agg(F.min("key").alias("least"), F.max("key").alias("most")).where("least < most").select("h1", "h2", "least")
     places = spans.join(first, ["h1", "h2"]).where("key > least").groupBy("key").agg(F.collect_set("place").alias("places"))
-    return source.join(places, "key", "left").mapInArrow(_rebuild, "doc_id long, text string, n_sentences long, n_removed long")
+    return source.join(places, "key", "left").mapInArrow(tidy(_rebuild), "doc_id long, text string, n_sentences long, n_removed long")

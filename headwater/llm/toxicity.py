@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from headwater.llm import neural as N
 from headwater.llm import words as W
-from headwater.llm.shared import held_out
+from headwater.llm.shared import held_out, tidy
 
 WINDOW, STRIDE, LETTERS = 24, 12, 16
 VOCABULARY, EMBED, CHARS, HIDDEN, ATTEND = 8192, 8, 6, 8, 8
@@ -344,7 +344,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
         drawn = part if drawn is None else drawn.unionByName(part)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     found = source.join(F.broadcast(drawn), "id").select(F.xxhash64(F.lit("order"), "id", "text").alias("h"), "text", "y")
-    got = found.mapInArrow(_windows, "h long, units binary, n long, y int").orderBy("h", "n", "y").limit(3 * PER_CLASS).collect()
+    got = found.mapInArrow(tidy(_windows), "h long, units binary, n long, y int").orderBy("h", "n", "y").limit(3 * PER_CLASS).collect()
     return [(bytes(r["units"]), r["n"], r["y"]) for r in got], counts[1] / (counts[0] + counts[1])
 
 
@@ -372,4 +372,4 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """
     source = docs.select(F.col(id_col).cast("long").alias("id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).cast("string").alias("text"))
     model = fit(*sample(docs, labels, id_col, text_col, label_col))
-    return source.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double, predicted int")
+    return source.mapInArrow(tidy(_score(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, held_out boolean, score double, predicted int")
