@@ -58,7 +58,7 @@ def shared(row: np.ndarray, col: np.ndarray, n: np.ndarray, m: int, chunk: int =
     col = rank[col]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    width = min(chunk, max(64, (1 << 23) // max(m, 1)))
+    width = min(chunk, max(64, (1 << 21) // max(m, 1)))  # 8 MB
     for low in range(0, int(col[-1]) + 1 if len(col) else 0, width):
         i, j = np.searchsorted(col, [low, low + width])
         a = np.zeros((m, width), np.float32)
@@ -274,9 +274,9 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         diff = [np.frombuffer(x, np.uint64) for x in g["diff"].to_pylist()]
         mine, free = core == p, core < 0
         other = ~mine & ~free
-        pair = s[:, None] + s[None, :]
-        links = 9 * overlaps(diff) >= pair - bound
-        here = (mine[:, None] & (mine | free)[None, :]) & (pair > bound)
+        over = np.add.outer(s, s - bound).astype(np.int32)  # s is bounded by a text's length
+        links = 9 * overlaps(diff) >= over
+        here = (mine[:, None] & (mine | free)[None, :]) & (over > 0)
         if other.any():
             names, place = np.unique(core[other], return_inverse=True)
             near = np.stack([np.isin(names, c) for c in lists(g["centres"])])

@@ -119,17 +119,21 @@ def _letter(c: Column, r: Column, as_name: bool) -> Column:
 
 
 def _cased(c: Column, low: Column, r: Column, as_name: bool) -> Column:
+    """A letter of the alphabet of ``low``'s script (of its vowels or consonants in a name) in the case of ``c``."""
     out = F
     for vowels, consonants, script in LETTERS.values():
-        out = out.when(low.rlike(script), F.when(low.isin(*vowels), _pick(vowels, r)).otherwise(_pick(consonants, r)) if as_name else _pick(vowels + consonants, r))
+        if as_name:
+            out = out.when(low.rlike(f"[{vowels}]"), vowels)
+        out = out.when(low.rlike(script), consonants if as_name else vowels + consonants)
     for script, letters in OTHERS.items():
-        out = out.when(low.rlike(rf"[\p{{Is{script}}}]"), _pick(letters, r))
+        out = out.when(low.rlike(rf"\p{{Is{script}}}"), letters)
     latin = LETTERS["latin"]
-    return let(out.otherwise(_pick(latin[0] + latin[1], r)), lambda new: F.when(c != low, F.upper(new)).otherwise(new))
+    new = let(out.otherwise(latin[0] + latin[1]), lambda letters: F.substring(letters, r % F.length(letters) + 1, F.lit(1)))
+    return let(new, lambda x: F.when(c != low, F.upper(x)).otherwise(x))
 
 
-def _poured(e: Column, seed: Column, kept: Column, as_name: bool = False, from_end: bool = False, hexadecimal: Column | None = None) -> Column:
-    """The format of ``e`` with keyed digits and letters; the first ``kept`` of them stay. ``from_end``: places count from the end."""
+def _poured(e: Column, seed: Column, kept: Column, as_name: bool = False, from_end: Column | None = None, hexadecimal: Column | None = None) -> Column:
+    """The format of ``e`` with keyed digits and letters; the first ``kept`` of them stay. Where ``from_end``, places count from the end."""
 
     def fill(plain: Column) -> Column:
         def one(c: Column, i: Column) -> Column:
@@ -137,25 +141,28 @@ def _poured(e: Column, seed: Column, kept: Column, as_name: bool = False, from_e
                 def drawn(r: Column) -> Column:
                     letter = _letter(c, r, as_name)
                     if hexadecimal is not None:
-                        letter = F.when(hexadecimal, F.when(c != F.lower(c), F.upper(_pick("abcdef", r))).otherwise(_pick("abcdef", r))).otherwise(letter)
+                        letter = F.when(hexadecimal, F.when(c.rlike("[A-F]"), _pick("ABCDEF", r)).otherwise(_pick("abcdef", r))).otherwise(letter)
                     return F.when(c.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(letter)
 
-                new = let(_random(seed, F.length(plain) - 1 - j if from_end else j), drawn)
-                return F.when(j < kept, c).otherwise(new)
+                place = j if from_end is None else F.when(from_end, F.length(plain) - 1 - j).otherwise(j)
+                return F.when(j < kept, c).otherwise(let(_random(seed, place), drawn))
 
             place = F.length(F.regexp_replace(F.substring(e, F.lit(1), i), r"[^\p{L}\p{N}]", ""))
             return F.when(c.rlike(r"[\p{L}\p{N}]"), let(place, at)).otherwise(c)
 
         return F.array_join(F.transform(F.split(e, ""), one), "")
 
-    return let(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""), fill) if from_end else fill(F.lit(""))
+    return fill(F.lit("")) if from_end is None else let(F.regexp_replace(e, r"[^\p{L}\p{N}]", ""), fill)
 
 
 def _longer(s: Column, seed: Column, n: Column) -> Column:
     """``s`` with ``n`` more characters of the kind of its last one."""
-    last = F.substring(s, F.lit(-1), F.lit(1))
-    more = lambda i: let(_random(F.concat(seed, F.lit("+")), i), lambda r: F.when(last.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(_letter(F.lower(last), r, False)))
-    return F.when(n > 0, F.concat(s, F.array_join(F.transform(F.sequence(F.lit(1), n), more), ""))).otherwise(s)
+
+    def more(last: Column) -> Column:
+        one = lambda r: F.when(last.rlike(r"\p{N}"), (r % 10).cast("string")).otherwise(_letter(last, r, False))
+        return F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: let(_random(F.concat(seed, F.lit("+")), i), one)), "")
+
+    return let(s, lambda v: F.when(n > 0, F.concat(v, let(F.lower(F.substring(v, F.lit(-1), F.lit(1))), more))).otherwise(v))
 
 
 def _luhn(digits: Column) -> Column:
@@ -167,14 +174,14 @@ def _luhn(digits: Column) -> Column:
     )
 
 
-def _card(e: Column, seed: Column) -> Column:
+def _card(e: Column, new: Column) -> Column:
+    """``new`` with a valid check digit where ``e`` has one."""
     digits = lambda x: F.regexp_replace(x, r"\D", "")
 
-
     def valid(head: Column) -> Column:
         return F.concat(head, ((10 - _luhn(F.concat(digits(head), F.lit("0"))) % 10) % 10).cast("string"))
 
-    return let(_poured(e, seed, F.lit(0)), lambda new: F.when(_luhn(digits(e)) % 10 == 0, let(F.substring(new, F.lit(1), F.length(new) - 1), valid)).otherwise(new))
+    return F.when(_luhn(digits(e)) % 10 == 0, let(F.substring(new, F.lit(1), F.length(new) - 1), valid)).otherwise(new)
 
 
 def _mod97(s: Column) -> Column:
@@ -183,14 +190,12 @@ def _mod97(s: Column) -> Column:
     return F.aggregate(F.transform(F.split(moved, ""), value), F.lit(0).cast("long"), lambda a, v: (a * F.when(v > 9, F.lit(100)).otherwise(F.lit(10)) + v) % 97)
 
 
-def _iban(e: Column, seed: Column) -> Column:
+def _iban(e: Column, new: Column) -> Column:
+    """``new`` with valid check digits where ``e`` has them."""
     plain = lambda x: F.replace(x, F.lit(" "), F.lit(""))
-
-    def valid(new: Column) -> Column:
-        country, rest = F.substring(new, F.lit(1), F.lit(2)), F.substring(new, F.lit(5), F.length(new))
-        return F.concat(country, F.lpad((98 - _mod97(plain(F.concat(country, F.lit("00"), rest)))).cast("string"), 2, "0"), rest)
-
-    return let(_poured(e, seed, F.lit(2)), lambda new: F.when(_mod97(plain(e)) == 1, valid(new)).otherwise(new))
+    country, rest = F.substring(new, F.lit(1), F.lit(2)), F.substring(new, F.lit(5), F.length(new))
+    valid = F.concat(country, F.lpad((98 - _mod97(plain(F.concat(country, F.lit("00"), rest)))).cast("string"), 2, "0"), rest)
+    return F.when(_mod97(plain(e)) == 1, valid).otherwise(new)
 
 
 def _email(e: Column, seed: Column, key: str, grow: Column) -> Column:
@@ -241,10 +246,10 @@ def surrogate(e: Column, key: str, attempt: Attempt) -> Column:
         code = F.when(e.startswith("+"), F.length(F.regexp_extract(F.regexp_replace(e, r"\D", ""), CODES + r"|^\d{3}", 0))).otherwise(0)
         octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (1 + _random(s, i) % 254).cast("string")), ".")
         prefix = F.when(e.rlike("^A"), 4).otherwise(F.length(F.regexp_extract(e, "^([a-z]+)_", 1)))
-        other = (
-            F.when(k == "ip", octets).when(k == "iban", _iban(e, s)).when(k == "card", _card(e, s)).when(k == "phone", _poured(e, s, code, from_end=True))
-            .otherwise(_poured(e, s, F.when(k == "key", prefix).otherwise(0), hexadecimal=(k == "secret") & e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")))
-        )
+        kept = F.when(k == "key", prefix).when(k == "iban", 2).when(k == "phone", code).otherwise(0)
+        hexadecimal = (k == "secret") & e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        plain = let(_poured(e, s, kept, from_end=k == "phone", hexadecimal=hexadecimal), lambda new: F.when(k == "iban", _iban(e, new)).when(k == "card", _card(e, new)).otherwise(new))
+        other = F.when(k == "ip", octets).otherwise(plain)
         names = F.transform(F.split(e, " "), lambda w: F.when(_is_title(w), w).otherwise(_word(w, key, attempt)))
         return F.when(k == "email", _email(e, s, key, grow)).when(k == "name", F.array_join(names, " ")).otherwise(_longer(other, s, grow))
 
