@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, chat, decontaminate, fingerprint, language, licences, near, pii, spans, toxicity
+from headwater.llm import bpe, chat, decontaminate, fingerprint, language, licences, near, pii, polytope, spans, toxicity
 from headwater.session import table
 
 #: Key of the registered query; a deployment passes its own secret.
@@ -73,6 +73,11 @@ def op10_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents"))
 
 
+def op11_cross_polytope(spark: SparkSession, d: str) -> DataFrame:
+    """Links and components of all vectors; see ``polytope.near_vectors``."""
+    return polytope.near_vectors(table(spark, d, "embeddings"))
+
+
 #: The same in DuckDB where SQL can express it.
 SQL: dict[str, str] = {
     "op6_chat_format": """
