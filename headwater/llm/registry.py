@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, chat, decontaminate, fingerprint, language, licences, near, pii, polytope, spans, toxicity
+from headwater.llm import bpe, chat, decontaminate, fingerprint, language, licences, near, pii, polytope, spans, spelling, toxicity
 from headwater.session import table
 
 #: Key of the registered query; a deployment passes its own secret.
@@ -78,6 +78,11 @@ def op11_cross_polytope(spark: SparkSession, d: str) -> DataFrame:
     return polytope.near_vectors(table(spark, d, "embeddings"))
 
 
+def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots; see ``spelling.spelling_variants``."""
+    return spelling.spelling_variants(table(spark, d, "documents"))
+
+
 #: The same in DuckDB where SQL can express it.
 SQL: dict[str, str] = {
     "op6_chat_format": """
