@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from headwater.llm import bpe, chat, decontaminate, fingerprint, language, licences, near, pii, polytope, spans, spelling, toxicity
+from headwater.llm import alignment, bpe, chat, decontaminate, fingerprint, language, licences, near, pii, polytope, spans, spelling, toxicity
 from headwater.session import table
 
 #: Key of the registered query; a deployment passes its own secret.
 PII_KEY = "headwater-demonstration-key"
 RANKS = "byte_bpe_multi_50k.tiktoken"
+ALIGNED = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def tokenizer() -> tuple[str, str]:
@@ -83,6 +84,18 @@ def op12_spelling_variants(spark: SparkSession, d: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, d, "documents"))
 
 
+def aligned_tokenizers() -> tuple[str, str, str]:
+    """(byte-level vocabulary, piece model, pattern) of the two public tokenizers that are aligned."""
+    import public_tokenizers as P
+
+    return *map(P.path, ALIGNED), P.PATTERN
+
+
+def op13_tokenizer_alignment(spark: SparkSession, d: str) -> DataFrame:
+    """Groups and links of two tokenizers over every document; see ``alignment.align_tokenizers``."""
+    return alignment.align_tokenizers(table(spark, d, "documents"), *aligned_tokenizers())
+
+
 #: The same in DuckDB where SQL can express it.
 SQL: dict[str, str] = {
     "op6_chat_format": """
