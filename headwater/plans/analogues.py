@@ -153,7 +153,7 @@ def eligible_pairs(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("zone"), "s_suppkey", "s_acctbal")
     pairs = shelter.eligible_pairs(
         r, s, ["zone"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 0, True), F.col("c_acctbal") < 0, F.col("s_suppkey") % 3 == 0,
-        F.abs(F.col("c_acctbal") - F.col("s_acctbal")), 5000.0,
+        ("c_acctbal", "s_acctbal"), 5000.0,
     )
     return pairs.select("zone", "c_custkey", "s_suppkey")
 
@@ -247,8 +247,9 @@ SQL: dict[str, str] = {
     "clip_box": "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_extendedprice BETWEEN 1000 AND 20000 AND l_quantity >= 10 GROUP BY 1",
     "reach_hops": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 0 AS node, 0 AS hops UNION SELECT dst, hops + 1 FROM r JOIN edges ON node = src WHERE hops < 3)
       SELECT node, min(hops) AS hops FROM r GROUP BY 1""",
-    "cheapest_path": f"""WITH RECURSIVE {_EDGES}, r AS (SELECT 0 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops UNION SELECT dst, r.cost + e.cost, hops + 1 FROM r JOIN edges e ON node = src WHERE hops < 6)
-      SELECT node, min(cost) AS cost FROM r GROUP BY 1""",
+    "cheapest_path": f"""WITH RECURSIVE {_EDGES}, r(node, cost) USING KEY (node) AS (SELECT 0, CAST(0 AS DOUBLE) UNION SELECT e.dst, min(r.cost + e.cost) FROM r JOIN edges e ON r.node = e.src
+      LEFT JOIN recurring.r known ON known.node = e.dst WHERE known.node IS NULL OR r.cost + e.cost < known.cost GROUP BY 1)
+      SELECT node, cost FROM r""",
     "seeded_sample": "SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR) || '-42'), o_orderkey LIMIT 25",
 }
 

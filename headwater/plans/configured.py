@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from headwater.operators import network, shelter
 from headwater.plans.analogues import edges_of
-from headwater.session import set_checkpoint_folder, table
+from headwater.session import remove, set_checkpoint_folder, table
 from headwater.sources import config_files, geo, inventory
 
 
@@ -27,14 +27,22 @@ def _loaded(spark: SparkSession, name: str, body) -> DataFrame:
     return config_files.frames(spark, {name: out})[name]
 
 
+def _rows(df: DataFrame, order: str, most: int = 1000) -> list:
+    """All rows of a configuration table in order; more than ``most`` are an error, never left out."""
+    rows = df.orderBy(order).take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows of configuration")
+    return rows
+
+
 def _nations(spark: SparkSession, d: str) -> list:
-    return table(spark, d, "nation").orderBy("n_nationkey").take(1000)
+    return _rows(table(spark, d, "nation"), "n_nationkey")
 
 
 def load_municipality(spark: SparkSession, d: str) -> DataFrame:
     """One document per region; absent and partial sub-records."""
     out = None
-    for r in table(spark, d, "region").orderBy("r_regionkey").take(100):
+    for r in _rows(table(spark, d, "region"), "r_regionkey"):
         k = r["r_regionkey"]
         body = {"name": r["r_name"], "fips_code": f"{k:05d}", "crs": None, "population": {"value": str(1000 * k), "provenance": "observed"}, "extra": "dropped"}
         body |= {"area_km2": {"value": k, "provenance": "derived"}} if k % 2 else {}
@@ -67,7 +75,7 @@ def load_eligibility(spark: SparkSession, d: str) -> DataFrame:
 
 def _scenario_frame(spark: SparkSession, d: str) -> DataFrame:
     body = []
-    for r in table(spark, d, "region").orderBy("r_regionkey").take(100):
+    for r in _rows(table(spark, d, "region"), "r_regionkey"):
         k = r["r_regionkey"]
         value = {"value": None if k in (0, 4) else k / 50, "provenance": (None, "observed", "scenario_based", None, None)[k % 5]}
         body.append({"id": f"S{k}", "label": r["r_name"], "return_period_years": str(10 * k) if k else None, "inundation_depth_threshold_m": value, "provenance": "scenario_based"})
@@ -140,12 +148,12 @@ def overlay_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reachable_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one region under the access rule whose shelter's nation can be reached in one hop."""
+    """Pairs of one region under the access rule whose shelter's nation can be reached in one hop, counted by nations over all rows."""
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("zone"))
-    c = table(spark, d, "customer").where("c_acctbal > 9000").join(F.broadcast(n), F.col("c_nationkey") == F.col("node")).select("zone", "c_custkey", "c_nationkey", "c_mktsegment")
-    s = table(spark, d, "supplier").where("s_acctbal > 9000").join(F.broadcast(n), F.col("s_nationkey") == F.col("node")).select("zone", "s_suppkey", "s_nationkey", "s_acctbal")
-    pairs = shelter.eligible_pairs(c, s, ["zone"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 9500, True), F.lit(False), F.lit(False))
-    return shelter.reachable_pairs(pairs, network.reach_pairs(edges_of(spark, d), n, 1), "c_nationkey", "s_nationkey").select("c_custkey", "s_suppkey")
+    c = table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("node")).select("zone", "c_nationkey", "c_mktsegment")
+    s = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("node")).select("zone", "s_nationkey", "s_acctbal")
+    pairs = shelter.eligible_counts(c, s, ["c_nationkey"], ["s_nationkey"], ["zone"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 0, True))
+    return shelter.reachable_pairs(pairs, network.reach_pairs(edges_of(spark, d), n, 1), "c_nationkey", "s_nationkey").select("c_nationkey", "s_nationkey", "pairs")
 
 
 def dasymetric_demand(spark: SparkSession, d: str) -> DataFrame:
@@ -155,15 +163,20 @@ def dasymetric_demand(spark: SparkSession, d: str) -> DataFrame:
     return shelter.dasymetric(zones, c, "c_nationkey", "people", "w").groupBy("c_mktsegment").agg(F.sum("demand").alias("demand"), F.count(F.lit(1)).alias("n"))
 
 
-def _routes(spark: SparkSession, d: str) -> DataFrame:
-    """(experiment, seed, node, cost) of three experiments, each on the links that its scenario leaves, by the algorithm it names."""
+def experiments_of(spark: SparkSession, d: str) -> list:
+    """(id, seed, algorithm, baseline, threshold) of three experiments, resolved against their scenarios."""
     body = [
         {"id": f"E{i}", "label": "route", "scenario_id": s, "algorithm": a, "seed": 40 + i, "provenance": "scenario_based"}
         for i, (s, a) in enumerate((("S0", "dijkstra"), ("S1", "a_star"), ("S3", "dijkstra")))
     ]
     chosen = _loaded(spark, "experiments", body).join(_floods(spark, d), F.col("scenario_id") == F.col("scenario"))
+    return _rows(chosen.select("id", "seed", "algorithm", "baseline", "threshold"), "id")
+
+
+def _routes(spark: SparkSession, d: str) -> DataFrame:
+    """(experiment, seed, node, cost) of three experiments, each on the links that its scenario leaves, by the algorithm it names."""
     out = None
-    for e in chosen.select("id", "seed", "algorithm", "baseline", "threshold").orderBy("id").take(100):
+    for e in experiments_of(spark, d):
         left = None if e["baseline"] else e["threshold"]
         one = network.route(edges_of(spark, d, left), spark.createDataFrame([(0,)], "node int"), e["algorithm"])
         one = one.select(F.lit(e["id"]).alias("experiment"), F.lit(e["seed"]).cast("long").alias("seed"), "node", "cost")
@@ -187,17 +200,19 @@ def results_round_trip(spark: SparkSession, d: str) -> DataFrame:
     t = geo.read_source(spark, "csv", f"{folder}/tables", "n_name string, lon double, n int, experiment string")
     g = geo.read_source(spark, "geojson", f"{folder}/routes/*")
     g = g.select(F.variant_get("properties", "$.name", "string").alias("n_name"), F.variant_get("coordinates", "$[0]", "double").alias("lon"), F.variant_get("properties", "$.n", "int").alias("n"), "kind")
-    return m.join(t.withColumnRenamed("n", "n_csv"), ["experiment", "n_name", "lon"]).join(g.withColumnRenamed("n", "n_geo"), ["n_name", "lon"]).select("experiment", "n_name", "lon", "n", "n_csv", "n_geo", "kind")
+    joined = m.join(t.withColumnRenamed("n", "n_csv"), ["experiment", "n_name", "lon"]).join(g.withColumnRenamed("n", "n_geo"), ["n_name", "lon"])
+    result = network.checkpointed(joined.select("experiment", "n_name", "lon", "n", "n_csv", "n_geo", "kind"))
+    remove(spark, folder)
+    return result
 
 
 _SCENARIOS = """sc AS (SELECT 'S' || r_regionkey AS scenario, r_name AS label, CASE WHEN r_regionkey > 0 THEN CAST(10 * r_regionkey AS BIGINT) END AS return_period_years,
   r_regionkey = 0 AS baseline, CASE WHEN r_regionkey NOT IN (0, 4) THEN r_regionkey / 50.0::DOUBLE END AS threshold FROM region)"""
-_PATHS = " UNION ALL ".join(
-    f"""SELECT 'E{i}' AS experiment, CAST({40 + i} AS BIGINT) AS seed, node, min(cost) AS cost FROM r{i} GROUP BY 3""" for i in range(3)
-)
+_PATHS = " UNION ALL ".join(f"SELECT 'E{i}' AS experiment, CAST({40 + i} AS BIGINT) AS seed, node, cost FROM r{i}" for i in range(3))
 _WALKS = ", ".join(
     f"""e{i} AS (SELECT src, dst, min(q) AS cost FROM l WHERE {keep} GROUP BY 1, 2),
-  r{i} AS (SELECT 0 AS node, CAST(0 AS DOUBLE) AS cost, 0 AS hops UNION SELECT dst, r{i}.cost + e.cost, hops + 1 FROM r{i} JOIN e{i} e ON node = src WHERE hops < 6)"""
+  r{i}(node, cost) USING KEY (node) AS (SELECT 0, CAST(0 AS DOUBLE) UNION SELECT e.dst, min(r{i}.cost + e.cost) FROM r{i} JOIN e{i} e ON r{i}.node = e.src
+  LEFT JOIN recurring.r{i} known ON known.node = e.dst WHERE known.node IS NULL OR r{i}.cost + e.cost < known.cost GROUP BY 1)"""
     for i, keep in enumerate(("true", "NOT (depth >= 1 / 50.0::DOUBLE)", "NOT (depth >= 3 / 50.0::DOUBLE)"))
 )
 
@@ -224,8 +239,8 @@ SQL: dict[str, str] = {
       FROM (SELECT * FROM sc WHERE baseline OR threshold IS NOT NULL) s CROSS JOIN lineitem LEFT JOIN m ON l_partkey = p_partkey AND m.scenario = s.scenario WHERE baseline OR depth IS NULL OR NOT (depth >= threshold) GROUP BY 1""",
     "reachable_pairs": """WITH g AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
       UNION SELECT n_nationkey, n_nationkey FROM nation)
-      SELECT c_custkey, s_suppkey FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey
-      WHERE c_acctbal > 9000 AND s_acctbal > 9000 AND (c_mktsegment <> 'BUILDING' OR s_acctbal > 9500) AND EXISTS (SELECT 1 FROM g WHERE src = c_nationkey AND dst = s_nationkey)""",
+      SELECT c_nationkey, s_nationkey, count(*) AS pairs FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey
+      WHERE (c_mktsegment <> 'BUILDING' OR s_acctbal > 0) AND EXISTS (SELECT 1 FROM g WHERE src = c_nationkey AND dst = s_nationkey) GROUP BY 1, 2""",
     "dasymetric_demand": """WITH c AS (SELECT c_nationkey, c_mktsegment, greatest(floor(c_acctbal), 0) AS w, count(*) OVER (PARTITION BY c_nationkey) * 1000 AS people, sum(greatest(floor(c_acctbal), 0)) OVER (PARTITION BY c_nationkey) AS total FROM customer)
       SELECT c_mktsegment, CAST(sum(CASE WHEN total > 0 THEN floor(people * w / total) END) AS BIGINT) AS demand, count(*) AS n FROM c GROUP BY 1""",
     "experiment_routes": f"""WITH RECURSIVE l AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_quantity AS q, l_discount AS depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey

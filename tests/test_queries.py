@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from headwater.plans import analogues, configured
+from headwater.plans import analogues, configured, networks
 
-QUERIES, SQL = analogues.QUERIES | configured.QUERIES, analogues.SQL | configured.SQL
+QUERIES, SQL = analogues.QUERIES | configured.QUERIES | networks.QUERIES, analogues.SQL | configured.SQL | networks.SQL
 SF = os.environ.get("HEADWATER_SF", "/root/testdata/sf0.001")
 
 
