@@ -49,3 +49,11 @@ def seeded_key(column: Column, seed: int) -> Column:
 def seeded_sample(df: DataFrame, column: str, seed: int, k: int) -> DataFrame:
     """The k rows that come first in the seeded order (top-k per partition, then a merge)."""
     return df.withColumn("_key", seeded_key(F.col(column), seed)).orderBy("_key", column).limit(k).drop("_key")
+
+
+def margins(df: DataFrame, dims: Sequence[str], sets: Sequence[Sequence[str]], aggregates: Sequence[Column]) -> DataFrame:
+    """Aggregates over several sets of the dimensions in one shuffle, with ``margin``: bit by bit, first dimension first, whether it is summed over.
+
+    A dimension that is summed over is null; ``margin`` tells that apart from a null value. Sums of one scan are partial before the shuffle.
+    """
+    return df.groupingSets([[F.col(c) for c in s] for s in sets], *[F.col(c) for c in dims]).agg(F.grouping_id(*dims).alias("margin"), *aggregates)

@@ -51,11 +51,13 @@ def passable_links(links: DataFrame, scenarios: DataFrame, depth: Column) -> Dat
 def overlay(links: DataFrame, masks: DataFrame, scenarios: DataFrame, on: list[str]) -> DataFrame:
     """A row per link and scenario, with the depth that the scenario's mask has where the link is; null where it has none.
 
-    ``masks`` is (``on``..., scenario, depth): a link table by scenario, as overlaid beforehand. The join is by equal keys, so
-    it is partitioned or broadcast as sizes ask for; the few scenario rows fan each link out once.
+    ``masks`` is (``on``..., scenario, depth), as overlaid beforehand (``spatial.flood_depths``). They are gathered to one row a link first, with its
+    depths by scenario, of which there are few; links are joined once, by equal keys, and only then fan out over the scenarios.
     """
-    each = links.join(_configured(scenarios.select("scenario", "baseline", "threshold")))
-    return each.join(masks.groupBy(*on, "scenario").agg(F.max("depth").alias("depth")), [*on, "scenario"], "left")
+    depths = masks.where("scenario is not null").groupBy(*on, "scenario").agg(F.max("depth").alias("depth"))
+    held = depths.groupBy(*on).agg(F.map_from_entries(F.collect_list(F.struct("scenario", "depth"))).alias("_depths"))
+    each = links.join(held, on, "left").join(_configured(scenarios.select("scenario", "baseline", "threshold")))
+    return each.withColumn("depth", F.try_element_at("_depths", F.col("scenario"))).drop("_depths")
 
 
 def passable(overlaid: DataFrame) -> DataFrame:
