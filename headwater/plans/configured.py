@@ -1,7 +1,6 @@
-"""Queries that run the loaders, the inventory, overlays, experiments, sinks and readers themselves, and the same in SQL.
+"""Queries that run the inventory, overlays, experiments, sinks and readers themselves, and the same in SQL.
 
-The documents are made of the ``region`` and ``nation`` tables, which have 5 and 25 rows at every scale; they pass through YAML
-text, so parsing, casts, defaults and checks are those of real files.
+Scenarios and experiments come from documents made of the ``region`` table, which has 5 rows at every scale, through YAML text.
 """
 
 from __future__ import annotations
@@ -39,40 +38,6 @@ def _nations(spark: SparkSession, d: str) -> list:
     return _rows(table(spark, d, "nation"), "n_nationkey")
 
 
-def load_municipality(spark: SparkSession, d: str) -> DataFrame:
-    """One document per region; absent and partial sub-records."""
-    out = None
-    for r in _rows(table(spark, d, "region"), "r_regionkey"):
-        k = r["r_regionkey"]
-        body = {"name": r["r_name"], "fips_code": f"{k:05d}", "crs": None, "population": {"value": str(1000 * k), "provenance": "observed"}, "extra": "dropped"}
-        body |= {"area_km2": {"value": k, "provenance": "derived"}} if k % 2 else {}
-        one = _loaded(spark, "municipality", body)
-        out = one if out is None else out.unionByName(one)
-    return out.select("name", "fips_code", "crs", F.col("area_km2.value").alias("area"), F.col("area_km2.provenance").alias("area_from"), F.col("population.value").alias("population"), F.col("bounding_box.min_lon").alias("min_lon"))
-
-
-def load_data_sources(spark: SparkSession, d: str) -> DataFrame:
-    """A map of sources; years as text are cast, absent fields are null."""
-    body = {r["n_name"]: {"format": "csv" if r["n_regionkey"] % 2 else None, "provenance": "observed", "reference_year": f" {1990 + r['n_nationkey']} "} for r in _nations(spark, d)}
-    return _loaded(spark, "data_sources", body).select("source_id", "format", "provenance", "reference_year", "url")
-
-
-def load_shelters(spark: SparkSession, d: str) -> DataFrame:
-    """A list of shelters; casts of numbers and booleans, unknown capacities stay null."""
-    body = [
-        {"id": r["n_name"], "lon": str(r["n_nationkey"] / 4), "lat": r["n_regionkey"], "accessible": ("yes", 0, None)[r["n_nationkey"] % 3],
-         "capacity": {"value": float(r["n_nationkey"]) if r["n_regionkey"] > 1 else None, "provenance": "scenario_based"}}
-        for r in _nations(spark, d)
-    ]
-    return _loaded(spark, "shelters", body).select("id", "lon", "lat", "accessible", F.col("capacity.value").alias("capacity"), F.col("activation_lead_time_hours.provenance").alias("lead_from"))
-
-
-def load_eligibility(spark: SparkSession, d: str) -> DataFrame:
-    """Free rules as variants, read by path."""
-    body = {r["n_name"]: {"cutoff": {"value": r["n_nationkey"] if r["n_regionkey"] else None}, "note": f"rule {r['n_nationkey']}"} for r in _nations(spark, d)}
-    return _loaded(spark, "eligibility", body).select("rule", F.try_variant_get("body", "$.cutoff.value", "long").alias("cutoff"), F.try_variant_get("body", "$.note", "string").alias("note"))
-
-
 def _scenario_frame(spark: SparkSession, d: str) -> DataFrame:
     body = []
     for r in _rows(table(spark, d, "region"), "r_regionkey"):
@@ -84,36 +49,6 @@ def _scenario_frame(spark: SparkSession, d: str) -> DataFrame:
     return loaded.select(F.col("id").alias("scenario"), "label", "return_period_years", F.col("return_period_years").isNull().alias("baseline"), F.try_variant_get(depth["value"], "$", "double").alias("threshold"), depth["provenance"].alias("provenance"))
 
 
-def load_scenarios(spark: SparkSession, d: str) -> DataFrame:
-    """Scenarios with the flags that their thresholds' provenance asks for."""
-    s = _scenario_frame(spark, d)
-    return s.select("scenario", "label", "return_period_years", "threshold", F.array_join(network.flags(F.col("threshold"), F.col("provenance"), F.col("baseline")), ",").alias("flags"))
-
-
-def load_experiments(spark: SparkSession, d: str) -> DataFrame:
-    """Seeds are carried as integers, parameters as variants."""
-    body = [
-        {"id": f"E{r['n_nationkey']}", "label": r["n_name"], "scenario_id": f"S{r['n_regionkey']}", "seed": f"{42 + r['n_nationkey']}", "provenance": "scenario_based", "parameters": {"speed": r["n_nationkey"] / 2}}
-        for r in _nations(spark, d)
-    ]
-    return _loaded(spark, "experiments", body).select("id", "label", "scenario_id", "seed", "algorithm", F.try_variant_get("parameters", "$.speed", "double").alias("speed"))
-
-
-def config_violations(spark: SparkSession, d: str) -> DataFrame:
-    """Every violation of one document together, with its path."""
-    body = []
-    for r in _nations(spark, d):
-        one = {"id": r["n_name"], "label": "x", "provenance": "guessed" if r["n_regionkey"] == 1 else "observed", "seed": "many" if r["n_regionkey"] == 2 else 7}
-        body.append({k: v for k, v in one.items() if k != "label" or r["n_regionkey"] != 3})
-    _, found = config_files.check("experiments", config_files.parse_yaml(yaml.safe_dump({"schema_version": "1.1", "experiments": body})))
-    return spark.createDataFrame([(v.path, v.rule, v.found) for v in found], "path string, rule string, found string")
-
-
-def stored_tables(spark: SparkSession, d: str) -> DataFrame:
-    """The entries of the table folder, from directory metadata only."""
-    return inventory.stored(spark, d).where(F.col("name").endswith(".parquet")).select("name")
-
-
 def directory_counts(spark: SparkSession, d: str) -> DataFrame:
     """Entries per directory without the placeholder, among manifests only YAML; parts stand for entries."""
     kind = F.when(F.col("p_size") <= 10, "raw").when(F.col("p_size") <= 20, "interim").when(F.col("p_size") <= 40, "processed").otherwise("manifests")
@@ -217,18 +152,6 @@ _WALKS = ", ".join(
 )
 
 SQL: dict[str, str] = {
-    "load_municipality": """SELECT r_name AS name, lpad(CAST(r_regionkey AS VARCHAR), 5, '0') AS fips_code, CAST(NULL AS VARCHAR) AS crs, CASE WHEN r_regionkey % 2 = 1 THEN CAST(r_regionkey AS DOUBLE) END AS area,
-      CASE WHEN r_regionkey % 2 = 1 THEN 'derived' END AS area_from, CAST(1000 * r_regionkey AS BIGINT) AS population, CAST(NULL AS DOUBLE) AS min_lon FROM region""",
-    "load_data_sources": """SELECT n_name AS source_id, CASE WHEN n_regionkey % 2 = 1 THEN 'csv' END AS format, 'observed' AS provenance, CAST(1990 + n_nationkey AS BIGINT) AS reference_year, CAST(NULL AS VARCHAR) AS url FROM nation""",
-    "load_shelters": """SELECT n_name AS id, n_nationkey / 4.0::DOUBLE AS lon, CAST(n_regionkey AS DOUBLE) AS lat, CASE n_nationkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS accessible,
-      CASE WHEN n_regionkey > 1 THEN CAST(n_nationkey AS BIGINT) END AS capacity, CAST(NULL AS VARCHAR) AS lead_from FROM nation""",
-    "load_eligibility": "SELECT n_name AS rule, CASE WHEN n_regionkey > 0 THEN CAST(n_nationkey AS BIGINT) END AS cutoff, 'rule ' || n_nationkey AS note FROM nation",
-    "load_scenarios": f"""WITH {_SCENARIOS} SELECT scenario, label, return_period_years, threshold, CASE scenario WHEN 'S2' THEN 'threshold_assumed' WHEN 'S3' THEN 'provenance_unknown' WHEN 'S4' THEN 'threshold_unknown' ELSE '' END AS flags FROM sc""",
-    "load_experiments": """SELECT 'E' || n_nationkey AS id, n_name AS label, 'S' || n_regionkey AS scenario_id, CAST(42 + n_nationkey AS BIGINT) AS seed, CAST(NULL AS VARCHAR) AS algorithm, n_nationkey / 2.0::DOUBLE AS speed FROM nation""",
-    "config_violations": """WITH n AS (SELECT *, row_number() OVER (ORDER BY n_nationkey) - 1 AS i FROM nation)
-      SELECT 'schema_version' AS path, 'version' AS rule, '1.1' AS found UNION ALL SELECT 'experiments[' || i || '].provenance', 'enum', 'guessed' FROM n WHERE n_regionkey = 1
-      UNION ALL SELECT 'experiments[' || i || '].seed', 'type', 'many' FROM n WHERE n_regionkey = 2 UNION ALL SELECT 'experiments[' || i || '].label', 'required', NULL FROM n WHERE n_regionkey = 3""",
-    "stored_tables": "SELECT unnest(['region', 'nation', 'customer', 'supplier', 'part', 'orders', 'lineitem', 'events', 'documents', 'embeddings', 'pages', 'benchmark', 'labels', 'conversations']) || '.parquet' AS name",
     "directory_counts": """WITH e AS (SELECT CASE WHEN p_size <= 10 THEN 'raw' WHEN p_size <= 20 THEN 'interim' WHEN p_size <= 40 THEN 'processed' ELSE 'manifests' END AS directory,
       CASE WHEN p_size = 10 THEN '.gitkeep' WHEN p_size > 45 THEN p_name || '.yaml' ELSE p_name END AS name FROM part), c AS (SELECT directory, true AS present,
       count(CASE WHEN directory = 'manifests' THEN CASE WHEN name LIKE '%.yaml' THEN 1 END WHEN name <> '.gitkeep' THEN 1 END) AS n FROM e GROUP BY 1)

@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from headwater.plans import analogues, configured, fields, networks
+from headwater.plans import analogues, catalogues, configured, fields, networks
 
-QUERIES, SQL = analogues.QUERIES | configured.QUERIES | networks.QUERIES | fields.QUERIES, analogues.SQL | configured.SQL | networks.SQL | fields.SQL
+QUERIES, SQL = analogues.QUERIES | configured.QUERIES | catalogues.QUERIES | networks.QUERIES | fields.QUERIES, analogues.SQL | configured.SQL | catalogues.SQL | networks.SQL | fields.SQL
 SF = os.environ.get("HEADWATER_SF", "/root/testdata/sf0.001")
 
 
