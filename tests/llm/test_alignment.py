@@ -1,10 +1,11 @@
 """Alignment against the tokenizer libraries' own offsets, token by token."""
 
+import dataclasses
 import hashlib
 import random
 from collections import Counter, defaultdict
 
-import numpy as np
+import pyarrow as pa
 import public_tokenizers as P
 import pytest
 import sentencepiece
@@ -119,8 +120,20 @@ def test_driver_table(spark, libraries):
     assert got == brute(libraries, rows)
 
 
-def test_groups_cover_all_bytes():
+def test_segments_are_encoded_as_the_whole(libraries, monkeypatch):
+    """Cut at spaces, both tokenizers give the ids of the whole text, and so they do in one call for all segments; without a cut the result is the same."""
     both = alignment.tokenizers(*registry.aligned_tokenizers())
-    ids = [both.first("hello world"), both.first("x")], [both.second("hello world"), both.second("x")]
-    x = alignment.align(*ids, both.first_size, both.second_size)
-    assert np.array_equal(np.unique(x.group_a), np.unique(x.group_b)) and x.ends_a[-1] == x.ends_b[-1] == len(" hello world x")
+    assert both.apart
+    uncut = dataclasses.replace(both, apart=False)
+    monkeypatch.setattr(alignment, "CHUNK", 60)
+    rows = [t for _, t in [*texts(7, 400), (0, " lead"), (1, "trail  "), (5, "trail "), (6, "a b \n "), (2, "a\u00a0 b\x1c c\u2003 d"), (3, " "), (4, "  "), (8, ""), (9, "plain words only")]]
+    for text in rows:
+        parts = alignment.segments(text)
+        assert "".join(" " + p for p in parts) == " " + text
+        whole = alignment.tokens(both, text)
+        if whole and text:
+            (a, n_a), (b, n_b), good = alignment.encode_segments(both, parts)
+            assert a.tolist() == whole[0].tolist() and b.tolist() == whole[1].tolist() and good.all() and len(n_a) == len(n_b) == len(parts)
+    one, other = (alignment.read_block(x, pa.array(rows, pa.string())) for x in (both, uncut))
+    assert (one.numbers == other.numbers).all() and one.digests == other.digests and (one.pairs == other.pairs).all() and (one.documents == other.documents).all()
+    assert all((x == y).all() for x, y in zip(one.times + one.place, other.times + other.place, strict=True))
