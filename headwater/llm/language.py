@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ WINDOW, HIDDEN, PAD = 96, 8, 256
 PER_LANGUAGE, WINDOWS_A_ROW, WINDOWS = 250, 8, 100_000
 STEPS, BATCH = 180, 160
 UNKNOWN = "und"
+#: Share of the probability that one language has to have for a document to stay in the pipeline.
+LEAST_SCORE = 0.5
 
 
 def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -186,17 +189,25 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return source.mapInArrow(tidy(_predict(docs.sparkSession.sparkContext.broadcast(model))), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> DataFrame:
-    """Documents that ``identify`` does not call ``und``; all columns, whatever their names, in one pass without a shuffle.
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """Documents whose language is identified, with ``label_col`` filled where it is null; all columns, whatever their names, in one pass without a shuffle.
 
-    Null, empty and letter-less texts go, and all rows if there is no labelled row to learn from; all others stay, repeated ones too.
+    Null, empty and letter-less texts go, and so do texts of which no language has ``least`` of the probability (mixtures and noise). A
+    label that is there stays, even where the network would give another. Without a labelled row to learn from nothing is known of any text: all rows stay
+    as they are. Repeated rows stay; a label column that is not text is not filled.
     """
-    model = docs.sparkSession.sparkContext.broadcast(train(sample(docs, id_col, text_col, label_col)))
+    trained = train(sample(docs, id_col, text_col, label_col))
+    if trained is None:
+        return docs
+    model = docs.sparkSession.sparkContext.broadcast(trained)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.int64()), pa.nulls(batch.num_rows, pa.bool_()), batch.column(text_col)], ["id", "held_out", "text"])
-            found = [b.column("lang_pred").to_numpy(zero_copy_only=False) for b in _predict(model)(iter([own]))]
-            yield batch.filter(pa.array(np.concatenate([np.zeros(0, object), *found]) != UNKNOWN, pa.bool_()))
+            found = pa.Table.from_batches(list(_predict(model)(iter([own]))), pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])).combine_chunks()
+            told, place = found["lang_pred"], batch.schema.get_field_index(label_col)
+            if pa.types.is_string(batch.schema.field(place).type) and batch.num_rows:
+                batch = batch.set_column(place, batch.schema.field(place), pc.coalesce(batch.column(place), told.combine_chunks()))
+            yield batch.filter(pc.and_(pc.not_equal(told, UNKNOWN), pc.greater_equal(found["score"], least)).combine_chunks())
 
     return docs.mapInArrow(tidy(keep), docs.schema)

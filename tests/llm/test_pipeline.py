@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 def test_stages_against_brute_force(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}
-    kept = {r["doc_id"] for r in language.identify(docs).collect() if r["lang_pred"] != "und"}
+    kept = {r["doc_id"] for r in language.identify(docs).collect() if r["lang_pred"] != "und" and r["score"] >= language.LEAST_SCORE}
     assert len(kept) > 0.99 * len(texts)
     kept = {d for d, cls, _, _ in brute([(d, texts[d]) for d in sorted(kept)]) if d == cls}
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").collect()]
@@ -58,7 +58,32 @@ def test_each_stage_on_odd_rows(spark):
     assert (None, None) in {(r["doc_id"], r["text"]) for r in corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()}
 
 
+def test_language_stage_uses_the_network(spark):
+    """Labels that are missing are filled by prediction, known ones stay, mixtures go though they have letters; nothing goes where nothing can be learned."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars")
+    known = {r["doc_id"]: r["lang"] for r in docs.where("lang is not null").collect()}
+    hidden = docs.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    got = {r["doc_id"]: r["lang"] for r in corpus_pipeline.language_id(spark, hidden, SF).collect()}
+    filled = [i for i in got if i % 3 == 0 and i in known]
+    assert len(filled) > 20 and sum(got[i] == known[i] for i in filled) > 0.9 * len(filled)
+    assert all(got[i] == known[i] for i in got if i % 3 and i in known)
+    # Words of three languages in turn: letters, but no language of its own.
+    texts = {}
+    for r in docs.where("lang is not null").orderBy("doc_id").collect():
+        texts.setdefault(r["lang"], []).extend(r["text"].split()[:60])
+    least = min(map(len, texts.values()))
+    mixed = " ".join(w for k in range(min(least, 400)) for w in (texts[lang][k] for lang in sorted(texts)))
+    rows = spark.createDataFrame([(-1, mixed, None, "x", len(mixed))], docs.schema)
+    score = {r["doc_id"]: r["score"] for r in language.identify(hidden.unionByName(rows)).collect()}
+    kept = {r["doc_id"] for r in language.keep_identified(hidden.unionByName(rows), least=max(0.5, score[-1] + 1e-6)).collect()}
+    letters = {r["doc_id"] for r in hidden.unionByName(rows).where(F.col("text").rlike(r"\p{L}")).collect()}
+    assert -1 not in kept and -1 in letters
+    assert kept == {i for i, s in score.items() if s >= max(0.5, score[-1] + 1e-6)}
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, none, SF).count() == docs.count()
+
+
 def test_registered():
     entry = importlib.import_module("__spark_entry__")
     names = entry.queries()
-    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 11))
+    assert "pipeline" in names and sorted(int(n[2:].split("_")[0]) for n in names if n.startswith("op")) == list(range(1, 14))
