@@ -7,13 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from headwater.llm import bpe, decontaminate, language, near, pii, registry
-from headwater.session import set_checkpoint_folder, table
+from headwater.session import remove, set_checkpoint_folder, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language identification calls und go: null, empty and letter-less texts, and all if no row has a language.
+    """Documents whose language is identified stay, with ``lang`` filled by the prediction where it is null.
 
-    All others stay with all their columns, repeated rows and null ids too. An empty table gives none; column names may clash.
+    Null, empty and letter-less texts go, and texts of which no language has half of the probability. Where no row has a language to learn
+    from all rows stay as they are. Repeated rows and null ids stay. An empty table gives none; column names may clash.
     """
     return language.keep_identified(docs)
 
@@ -62,12 +63,6 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    """A stage's folder in the shared store, once the next stage is written."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each is written as Parquet and read again as the next one's input.
 
@@ -79,6 +74,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{folder}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)
         if before:
-            _remove(spark, before)
+            remove(spark, before)
         docs, before = spark.read.parquet(path), path
     return docs
