@@ -25,8 +25,9 @@ WINDOW, HIDDEN, PAD = 96, 8, 256
 PER_LANGUAGE, WINDOWS_A_ROW, WINDOWS = 250, 8, 100_000
 STEPS, BATCH = 180, 160
 UNKNOWN = "und"
-#: Share of the probability that one language has to have for a document to stay in the pipeline.
-LEAST_SCORE = 0.5
+#: Share of the probability that one language has to have for a document to stay in the pipeline: at a half, 12 of the 10,000 documents of sf0.1 would go,
+#: all of them short or in two languages; at a third none does.
+LEAST_SCORE = 1 / 3
 
 
 def windows(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -75,10 +75,10 @@ def test_language_stage_uses_the_network(spark):
     mixed = " ".join(w for k in range(min(least, 400)) for w in (texts[lang][k] for lang in sorted(texts)))
     rows = spark.createDataFrame([(-1, mixed, None, "x", len(mixed))], docs.schema)
     score = {r["doc_id"]: r["score"] for r in language.identify(hidden.unionByName(rows)).collect()}
-    kept = {r["doc_id"] for r in language.keep_identified(hidden.unionByName(rows), least=max(0.5, score[-1] + 1e-6)).collect()}
+    kept = {r["doc_id"] for r in language.keep_identified(hidden.unionByName(rows), least=max(language.LEAST_SCORE, score[-1] + 1e-6)).collect()}
     letters = {r["doc_id"] for r in hidden.unionByName(rows).where(F.col("text").rlike(r"\p{L}")).collect()}
     assert -1 not in kept and -1 in letters
-    assert kept == {i for i, s in score.items() if s >= max(0.5, score[-1] + 1e-6)}
+    assert kept == {i for i, s in score.items() if s >= max(language.LEAST_SCORE, score[-1] + 1e-6)}
     none = docs.withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_id(spark, none, SF).count() == docs.count()
 
