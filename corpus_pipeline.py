@@ -13,7 +13,7 @@ from headwater.session import remove, set_checkpoint_folder, table
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified stay, with ``lang`` filled by the prediction where it is null.
 
-    Null, empty and letter-less texts go, and texts of which no language has half of the probability. Where no row has a language to learn
+    Null, empty and letter-less texts go, and texts of which no language has a third of the probability. Where no row has a language to learn
     from all rows stay as they are. Repeated rows and null ids stay. An empty table gives none; column names may clash.
     """
     return language.keep_identified(docs)
