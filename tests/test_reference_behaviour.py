@@ -196,12 +196,11 @@ def test_nulls_in_eligibility_and_integrity(spark):
 
 
 def test_streaming_links(spark, tmp_path):
-    from headwater.streaming.links import passable_stream
 
     spark.range(4).selectExpr("id", "id / 4.0D as depth").write.parquet(str(tmp_path / "in"))
     sc = spark.createDataFrame([("S1", False, 0.5)], "scenario string, baseline boolean, threshold double")
     stream = spark.readStream.schema("id long, depth double").parquet(str(tmp_path / "in"))
-    q = passable_stream(stream, sc, F.col("depth")).writeStream.format("memory").queryName("links").start()
+    q = network.passable_links(stream, sc, F.col("depth")).writeStream.format("memory").queryName("links").start()
     q.processAllAvailable()
     q.stop()
     assert sorted(r["id"] for r in spark.table("links").collect()) == [0, 1]
