@@ -11,8 +11,10 @@ matching statistics are one or zero, told from the word hashes alone.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from headwater.llm.shared import tidy
 # The base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label -> notices that state it. Short public notices and opening sentences of well-known licences.
+#: Label -> notices that state it: short public notices and opening sentences of well-known licences. Whole texts stand beside them (``whole_texts``).
 TEMPLATES: dict[str, tuple[str, ...]] = {
     "mit": (
         "released under the mit license",
@@ -54,6 +56,23 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "no-reproduction": ("no part of this publication may be reproduced distributed or transmitted in any form or by any means without prior written permission",),
 }
 
+
+
+def whole_texts() -> dict[str, tuple[str, ...]]:
+    """Label -> whole public licence texts or notices: the files of ``licence_texts``, named by label and, where it has several, a number after two dashes."""
+    found: dict[str, tuple[str, ...]] = {}
+    for file in sorted(resources.files(__package__).joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        if file.name.endswith(".txt"):
+            label = file.name.removesuffix(".txt").split("--")[0]
+            found[label] = (*found.get(label, ()), file.read_text(encoding="utf-8"))
+    return found
+
+
+def all_templates() -> dict[str, tuple[str, ...]]:
+    whole = whole_texts()
+    return {label: (*TEMPLATES.get(label, ()), *whole.get(label, ())) for label in (*TEMPLATES, *(k for k in whole if k not in TEMPLATES))}
+
+
 LEAST_MATCH = 3
 #: Share of a template's words that a chain has to cover, and words that it may skip between two matches.
 COVER, GAP = 0.8, 4
@@ -144,13 +163,11 @@ def chains(matches: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int,
         by.setdefault(t, []).append((end, place, size))
     for t, own in by.items():
         own.sort()
+        ends = [end for end, _, _ in own]
         best: list[tuple[int, int]] = []  # covered words, first word
-        low = 0
         for i, (end, place, size) in enumerate(own):
             covered, first = size, end - size + 1
-            while own[low][0] < end - size - GAP:
-                low += 1
-            for j in range(low, i):
+            for j in range(bisect_left(ends, end - size - GAP), i):
                 e, p, _ = own[j]
                 new = min(size, end - e, place - p)
                 if e < end and p < place and new > 0 and best[j][0] + new > covered:
@@ -159,10 +176,25 @@ def chains(matches: list[tuple[int, int, int, int]]) -> Iterator[tuple[int, int,
             yield t, first, end, covered
 
 
+def outdone(spans: dict[tuple[str, int], tuple[int, float, int]]) -> dict[tuple[str, int], tuple[int, float, int]]:
+    """``spans`` ((label, first word): (last word, share, words)) without those that another label's explains better.
+
+    Kindred licences differ by a few words, so one text covers the templates of several: of spans that share more than half of
+    their words, one that is covered by a smaller share and by no more words than the other's gives way. Ties stay.
+    """
+    kept = {}
+    for (label, first), (last, share, covered) in spans.items():
+        half = (last - first + 1) / 2
+        if not any(k != label and s > share and c >= covered and min(last, e) - max(first, b) + 1 > half for (k, b), (e, s, c) in spans.items()):
+            kept[label, first] = (last, share, covered)
+    return kept
+
+
 class Scanner:
     """Vocabulary, automaton and the table of neighbouring words, built once per Python worker."""
 
-    def __init__(self, templates: dict[str, tuple[str, ...]] = TEMPLATES, base: dict[str, str] = BASE):
+    def __init__(self, templates: dict[str, tuple[str, ...]] | None = None, base: dict[str, str] = BASE):
+        templates = all_templates() if templates is None else templates
         self.base = list(base.values())
         texts = [(label, text) for label, all_of in templates.items() for text in all_of]
         w = W.words(pa.array([t for _, t in texts] + list(base)), ascii_only=True)
@@ -216,14 +248,15 @@ class Scanner:
     def _result(self, base: list[tuple[int, int]], matches: list[tuple[int, int, int, int]]) -> tuple:
         starts = [s for _, s in base]
         own = sorted({self.base[p] for p, _ in base})
-        spans: dict[tuple[str, int], tuple[int, float]] = {}
+        spans: dict[tuple[str, int], tuple[int, float, int]] = {}
         for t, first, last, covered in chains(matches) if matches else ():
             share = covered / self.automaton.sizes[t]
             key = (self.automaton.labels[t], first)
-            if share >= COVER and share >= spans.get(key, (0, 0.0))[1]:
-                spans[key] = (last, share)
+            if share >= COVER and (share, covered) >= spans.get(key, (0, 0.0, 0))[1:]:
+                spans[key] = (last, share, covered)
+        spans = outdone(spans)
         found = sorted({label for label, _ in spans} | set(own))
-        score = 1.0 if own else max((share for _, share in spans.values()), default=0.0)
+        score = 1.0 if own else max((share for _, share, _ in spans.values()), default=0.0)
         listed = [{"label": k[0], "first_word": k[1], "last_word": v[0], "cover": v[1]} for k, v in sorted(spans.items(), key=lambda x: (x[0][1], x[0][0]))]
         return len(starts), min(starts, default=None), max(starts, default=None), ",".join(own), ",".join(found), min(1.0, score), listed
 
@@ -255,6 +288,8 @@ def scan_licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row per document: words, places of base phrases, their labels, all labels, a score and the covered spans.
 
     score: 1 with a base phrase, else the largest share of a template that a span covers. Null, empty and word-less
-    texts: zeros, nulls and empty labels. Null ids and repeated rows keep their rows; an empty table gives none.
+    texts: zeros, nulls and empty labels. Ids are cast to long; null ids and repeated rows keep their rows. A very long text is streamed
+    whole, only its stretches of neighbouring licence words. Of kindred licences the best covered counts, ties all. An empty table gives none;
+    other columns, whatever their names, are not read.
     """
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(_scan), SCHEMA)

@@ -165,6 +165,49 @@ def test_templates_are_found(spark):
     assert licences.scan_licences(docs_of(spark, [])).count() == 0
 
 
+def test_chains_against_all_chains():
+    """The best chain that ends in each match, against trying every sequence of matches."""
+    rnd = random.Random(9)
+
+    def every(own, i):
+        end, place, size = own[i]
+        yield size, end - size + 1
+        for j in range(len(own)):
+            e, p, _ = own[j]
+            new = min(size, end - e, place - p)
+            if e < end and p < place and new > 0 and e >= end - size - licences.GAP:
+                for covered, first in every(own, j):
+                    yield covered + new, first
+
+    for _ in range(200):
+        own = sorted({(rnd.randint(5, 25), rnd.randint(5, 20), rnd.randint(3, 5)) for _ in range(rnd.randint(1, 8))})
+        got = list(licences.chains([(7, e, p, n) for e, p, n in own]))
+        assert [(t, last) for t, _, last, _ in got] == [(7, e) for e, _, _ in own]
+        for i, (_, first, _, covered) in enumerate(got):
+            ways = list(every(own, i))
+            assert covered == max(c for c, _ in ways) and first in {f for c, f in ways if c == covered}
+
+
+def test_whole_texts(spark):
+    """Every whole licence is told among other words, as it is and with some words changed, and so are its kin."""
+    rnd, docs, want = random.Random(4), [], {}
+    texts = [(label, text) for label, every in licences.whole_texts().items() for text in every]
+    assert len(texts) >= 11 and sum(len(t.split()) for _, t in texts) > 1400
+    for label, text in texts:
+        for change in (0, 0.02):
+            w = [x if rnd.random() >= change else "zzz" for x in text.split()]
+            docs.append((len(docs), " ".join(["lorem"] * rnd.randint(0, 9) + w + ["ipsum"] * 5)))
+            want[docs[-1][0]] = label
+    docs.append((999, " ".join(texts[0][1].split()[:30] + ["other"] * 200)))
+    got = {r["doc_id"]: r for r in licences.scan_licences(docs_of(spark, docs)).collect()}
+    for d, label in want.items():
+        labels = [x for x in got[d]["labels"].split(",") if x != "gpl"]
+        assert label in labels and set(labels) <= {label, "unlicense" if label == "unlicense" else label, "cc0" if label == "unlicense" else label}, (label, labels)
+        span = max((x for x in got[d]["spans"] if x["label"] == label), key=lambda x: x["last_word"] - x["first_word"])
+        assert span["last_word"] - span["first_word"] + 1 > 0.75 * (got[d]["n_words"] - 14)
+    assert "gpl" in got[[d for d, x in want.items() if x == "gpl-3.0"][0]]["base_labels"]
+
+
 # Sentence spans.
 
 
