@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from headwater.operators import network, shelter
 from headwater.plans.analogues import edges_of
-from headwater.session import remove, set_checkpoint_folder, table
+from headwater.session import TABLES, remove, set_checkpoint_folder, table
 from headwater.sources import config_files, geo, inventory
 
 
@@ -49,6 +49,16 @@ def _scenario_frame(spark: SparkSession, d: str) -> DataFrame:
     return loaded.select(F.col("id").alias("scenario"), "label", "return_period_years", F.col("return_period_years").isNull().alias("baseline"), F.try_variant_get(depth["value"], "$", "double").alias("threshold"), depth["provenance"].alias("provenance"))
 
 
+def stored_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The entries of the table folder, from directory metadata, with the records that each holds."""
+    names = [r["name"] for r in _rows(inventory.stored(spark, d).where(F.col("name").endswith(".parquet")).select("name"), "name")]
+    out = None
+    for name in names:
+        one = spark.read.parquet(f"{d}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n")
+        out = one if out is None else out.unionByName(one)
+    return spark.createDataFrame([], "name string, n long") if out is None else out
+
+
 def directory_counts(spark: SparkSession, d: str) -> DataFrame:
     """Entries per directory without the placeholder, among manifests only YAML; parts stand for entries."""
     kind = F.when(F.col("p_size") <= 10, "raw").when(F.col("p_size") <= 20, "interim").when(F.col("p_size") <= 40, "processed").otherwise("manifests")
@@ -152,6 +162,7 @@ _WALKS = ", ".join(
 )
 
 SQL: dict[str, str] = {
+    "stored_tables": " UNION ALL ".join(f"SELECT '{t}.parquet' AS name, count(*) AS n FROM {t}" for t in TABLES),
     "directory_counts": """WITH e AS (SELECT CASE WHEN p_size <= 10 THEN 'raw' WHEN p_size <= 20 THEN 'interim' WHEN p_size <= 40 THEN 'processed' ELSE 'manifests' END AS directory,
       CASE WHEN p_size = 10 THEN '.gitkeep' WHEN p_size > 45 THEN p_name || '.yaml' ELSE p_name END AS name FROM part), c AS (SELECT directory, true AS present,
       count(CASE WHEN directory = 'manifests' THEN CASE WHEN name LIKE '%.yaml' THEN 1 END WHEN name <> '.gitkeep' THEN 1 END) AS n FROM e GROUP BY 1)

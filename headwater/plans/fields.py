@@ -7,13 +7,14 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.operators import integrity, network, spatial, temporal
 from headwater.plans.analogues import _SC, _scenarios
 from headwater.session import remove, set_checkpoint_folder, table
-from headwater.sources import grid
+from headwater.sources import grid, shapes
 from headwater.streaming import links
 
 #: Corners of a polygon about its supplier, in tens; a notch makes it not convex.
@@ -72,6 +73,30 @@ def sampled_grid(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def _packed(batches):
+    """A shapefile of each nation's suppliers: corners about their places, with their names."""
+    for batch in batches:
+        out = []
+        for nation, rows in zip(batch.column("n").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+            rings = [[[(r["x"] + a, r["y"] + b) for a, b in SHAPE]] if r["held"] else [] for r in rows]
+            out += [(f"nation-{nation}.shp", shapes.pack_shapes("Polygon", rings)), (f"nation-{nation}.dbf", shapes.pack_attributes([("key", "N", 12), ("name", "C", 40), ("rich", "L", 1)], [(r["key"], r["name"], r["rich"]) for r in rows]))]
+        yield pa.RecordBatch.from_pylist([{"path": p, "content": c} for p, c in out], pa.schema([("path", pa.string()), ("content", pa.binary())]))
+
+
+def shapefile_areas(spark: SparkSession, d: str) -> DataFrame:
+    """Shapefiles with attributes, one for some suppliers of each nation, packed and parsed again: area by the ring and attributes of every shape."""
+    s = table(spark, d, "supplier")
+    row = F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"), F.when(F.col("s_acctbal") >= 0, F.col("s_acctbal") > 5000).alias("rich"), (F.col("s_nationkey") * 40.0).alias("x"), (F.col("s_suppkey") * 2.0).alias("y"), (F.col("s_suppkey") % 7 > 0).alias("held"))
+    # A file holds some hundred suppliers of a nation, whatever their number.
+    files = s.groupBy(F.concat_ws("-", "s_nationkey", F.floor(F.col("s_suppkey") / 1000).cast("string")).alias("n")).agg(F.sort_array(F.collect_list(row)).alias("rows"))
+    found = shapes.parse(files.mapInArrow(_packed, "path string, content binary"))
+    ring = F.col("parts")[0]
+    turned = F.concat(F.slice(ring, 2, F.size(ring) - 1), F.slice(ring, 1, 1))
+    area = F.aggregate(F.zip_with(ring, turned, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda a, x: a + x) / 2
+    value = lambda key, kind: F.variant_get("properties", f"$.{key}", kind)
+    return found.select(value("key", "long").alias("s_suppkey"), value("name", "string").alias("name"), value("rich", "boolean").alias("rich"), "kind", F.when(F.col("kind") == "Polygon", F.abs(area)).alias("area"))
+
+
 def last_observed(spark: SparkSession, d: str) -> DataFrame:
     """As-of join: for each purchase the same user's last view before it."""
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), "value")
@@ -155,6 +180,8 @@ SQL: dict[str, str] = {
     "sampled_grid": f"""WITH cells AS (SELECT p_size % {GRID['cols']} AS c, floor(p_retailprice) % {GRID['rows']} AS r, CAST(count(*) AS DOUBLE) AS n FROM part GROUP BY 1, 2),
       p AS (SELECT s_suppkey, floor(s_nationkey * 2.25 / 2) AS c, {GRID['rows']} - 1 - floor((s_suppkey % 120 * 0.875 - 1) / 2) AS r FROM supplier)
       SELECT s_suppkey, n AS parts FROM p LEFT JOIN cells ON p.c = cells.c AND p.r = cells.r""",
+    "shapefile_areas": """SELECT s_suppkey, s_name AS name, CASE WHEN s_acctbal >= 0 THEN s_acctbal > 5000 END AS rich, CASE WHEN s_suppkey % 7 > 0 THEN 'Polygon' ELSE 'Null' END AS kind,
+      CASE WHEN s_suppkey % 7 > 0 THEN CAST(21 AS DOUBLE) END AS area FROM supplier""",
     "last_observed": """WITH views AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'view' GROUP BY 1, 2)
       SELECT event_id, epoch_us(v.ts) AS seen_us, v.value AS seen_value FROM (SELECT * FROM events WHERE event_type = 'purchase') e ASOF LEFT JOIN views v ON e.user_id = v.user_id AND e.ts >= v.ts""",
     "sensitivity_margins": f"""SELECT scenario, factor, l_returnflag, CAST(GROUPING(scenario, factor, l_returnflag) AS BIGINT) AS margin, count(*) AS n FROM lineitem, {_SC}, (VALUES (CAST(1.0 AS DOUBLE)), (1.5), (3.0)) AS f(factor)

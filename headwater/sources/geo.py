@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from headwater.sources import grid, shapes
+
 #: Formats that are read; any other is refused by name.
-FORMATS = ("csv", "geojson")
+FORMATS = ("csv", "geojson", "shapefile", "ascii_grid")
 _FEATURE = "struct<type: string, geometry: struct<type: string, coordinates: variant>, properties: variant>"
 
 
@@ -15,7 +17,7 @@ class UnsupportedFormat(ValueError):
 
 
 def read_source(spark: SparkSession, fmt: str | None, path: str | None, schema: str | None = None) -> DataFrame:
-    """Rows of one data source. CSV has a header and the given schema; malformed rows raise. GeoJSON: see ``read_geojson``."""
+    """Rows of one data source. CSV has a header and the given schema; malformed rows raise. The others: ``read_geojson``, ``shapes.read_shapes``, ``grid.read_grid``."""
     if not path:
         raise ValueError("the source has no raw_path")
     if fmt == "csv":
@@ -24,6 +26,10 @@ def read_source(spark: SparkSession, fmt: str | None, path: str | None, schema:
         return spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
     if fmt == "geojson":
         return read_geojson(spark, path)
+    if fmt == "shapefile":
+        return shapes.read_shapes(spark, path)
+    if fmt == "ascii_grid":
+        return grid.read_grid(spark, path)
     raise UnsupportedFormat(f"format {fmt!r}; expected one of {', '.join(FORMATS)}")
 
 

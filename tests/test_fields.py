@@ -3,12 +3,13 @@
 import datetime as dt
 import math
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
 from headwater.operators import integrity, network, spatial, temporal
-from headwater.sources import grid
+from headwater.sources import geo, grid, shapes
 from headwater.streaming import links
 
 RING = "array<struct<x: double, y: double>>"
@@ -193,3 +194,45 @@ def test_link_states_over_batches(spark, tmp_path):
     assert (1, hour(3), 0.9, 3, False) in rows and (1, hour(3), 0.9, 3, True) in rows and (2, hour(1), None, 1, True) in rows
     assert not any(r[2] == 7.0 for r in rows) and not any(r[0] in (None, 3) for r in rows)
     assert (9, hour(31), 0.3, 2, False) in rows and (1, hour(40), 0.4, 1, False) in rows
+
+
+SHAPES = [[[(0.0, 0.0), (4.0, 0.0), (4.0, 3.0)]], [], [[(1.0, 1.0), (2.0, 1.5)], [(5.0, 5.0), (6.0, 7.0), (8.0, 9.0)]]]
+
+
+def test_shapefiles(spark, tmp_path):
+    """Geometries of several parts, null shapes, attributes of each kind; heights are left out; two files keep apart."""
+    rows = [(7, "Zürich", 1.5, True, "2024-02-29"), (None, "", None, None, None), (-3, "x", -2.0, False, None)]
+    fields = [("id", "N", 8), ("name", "C", 12), ("depth", "F", 10), ("wet", "L", 1), ("day", "D", 8)]
+    (tmp_path / "roads.shp").write_bytes(shapes.pack_shapes("PolyLine", SHAPES))
+    (tmp_path / "roads.dbf").write_bytes(shapes.pack_attributes(fields, rows))
+    (tmp_path / "points.SHP").write_bytes(shapes.pack_shapes("Point", [[[(1.0, 2.0)]], [[(3.0, 4.0)]]]))
+    (tmp_path / "readme.txt").write_text("no shape")
+    got = {(r["stem"].rsplit("/", 1)[-1], r["number"]): r for r in geo.read_source(spark, "shapefile", str(tmp_path)).collect()}
+    assert {k: r["kind"] for k, r in got.items()} == {("roads", 1): "PolyLine", ("roads", 2): "Null", ("roads", 3): "PolyLine", ("points", 1): "Point", ("points", 2): "Point"}
+    assert [[(p["x"], p["y"]) for p in part] for part in got["roads", 3]["parts"]] == SHAPES[2] and got["roads", 2]["parts"] == []
+    assert [r.toPython() for r in (got["roads", 1]["properties"], got["roads", 2]["properties"])] == [
+        {"id": 7, "name": "Zürich", "depth": 1.5, "wet": True, "day": "2024-02-29"}, {"id": None, "name": None, "depth": None, "wet": None, "day": None}
+    ]
+    assert got["points", 2]["properties"] is None
+    flat = shapes.pack_shapes("Polygon", SHAPES[:1])
+    with_heights = flat[:108] + struct.pack("<i", 15) + flat[112:] + struct.pack("<5d", 0, 9, 1, 2, 3)
+    with_heights = with_heights[:24] + struct.pack(">i", len(with_heights) // 2) + with_heights[28:104] + struct.pack(">i", (len(with_heights) - 108) // 2) + with_heights[108:]
+    assert [(n, k, [p.tolist() for p in parts]) for n, k, parts in shapes.records(with_heights)] == [(1, "Polygon", [[[0.0, 0.0], [4.0, 0.0], [4.0, 3.0]]])]
+
+
+@pytest.mark.parametrize("content", [b"", b"x" * 200, shapes.pack_shapes("Point", [[[(1.0, 2.0)]]])[:-4]])
+def test_bad_shapefiles(content):
+    with pytest.raises(shapes.BadShapefile):
+        list(shapes.records(content))
+
+
+def test_bad_attributes():
+    good = shapes.pack_attributes([("a", "C", 3)], [("x",), ("y",)])
+    assert [v for _, v in shapes.attributes(good)] == [{"a": "x"}, {"a": "y"}]
+    deleted = good[:65] + b"*" + good[66:]
+    assert [v for _, v in shapes.attributes(deleted)] == [{}, {"a": "y"}]
+    for content in (b"", good[:-5]):
+        with pytest.raises(shapes.BadShapefile):
+            list(shapes.attributes(content))
+    with pytest.raises(shapes.BadShapefile, match="wider"):
+        shapes.pack_attributes([("a", "C", 1)], [("xy",)])

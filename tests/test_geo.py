@@ -22,7 +22,7 @@ def test_geojson_collection_and_lines(spark, tmp_path):
 
 
 def test_refused_sources(spark, tmp_path):
-    for fmt, path, error in (("shapefile", "x", geo.UnsupportedFormat), ("csv", None, ValueError), ("csv", "x", ValueError)):
+    for fmt, path, error in (("geotiff", "x", geo.UnsupportedFormat), ("csv", None, ValueError), ("csv", "x", ValueError)):
         with pytest.raises(error):
             geo.read_source(spark, fmt, path)
     (tmp_path / "bad.csv").write_text("a\nx\n")
