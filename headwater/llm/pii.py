@@ -20,10 +20,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from headwater.llm.shared import bounded, cut, fresh
+from headwater.llm.shared import BROADCAST_ROWS, bounded, cut, fresh
 
 # Titles by gender and given names by script and gender, in parallel use.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Sir", "Dr", "Prof", "Herr", "Frau", "Señor", "Señora", "Monsieur", "Madame", "г-н", "г-жа", "κ", "κα")
+#: The same in capitals, where they are not a small letter by custom.
+CAPITALS = tuple(t.upper() for t in TITLES if t[0].isupper())
 GIVEN = {
     ("latin", "m"): ("James", "John", "Robert", "Michael", "David", "Carlos", "José", "Luis", "Pierre", "Jacques", "Hans", "Karl", "Peter", "Thomas", "Paul", "Antonio"),
     ("latin", "f"): ("Mary", "Anna", "Maria", "Laura", "Linda", "Carmen", "Lucía", "Marie", "Claire", "Julia", "Sofia", "Elena", "Greta", "Ingrid", "Susan", "Emma"),
@@ -60,6 +62,8 @@ ROUNDS = 8
 
 _END = r"(?![\p{L}\p{N}_])"
 _WORD = r"\p{Lu}[\p{L}'’-]{1,40}"
+_LOUD = rf"\p{{Lu}}[\p{{Lu}}'’-]{{1,40}}{_END}"
+_HEX = "[0-9A-Fa-f]{1,4}"
 #: Kind -> pattern, tried in this order where no letter, digit or joining mark stands before.
 PATTERNS = {
     "email": r"[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]+\.)+\p{L}{2,}",
@@ -67,14 +71,27 @@ PATTERNS = {
     "secret": rf"(?=[A-Za-z0-9]{{16}})(?<=(?i:token|secret|password|passwd|key)[\"']?\s{{0,2}}[=:]\s{{0,2}}[\"']?)[A-Za-z0-9]{{16,}}+{_END}",
     "iban": rf"[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}",
     "ip": rf"\d{{1,3}}(?:\.\d{{1,3}}){{3}}{_END}(?!\.\d)",
+    "ip6": rf"(?=[A-Fa-f:]*\d)(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}:){{1,6}}(?::{_HEX}){{1,6}}|::{_HEX}(?::{_HEX}){{0,6}}){_END}(?!:)",
     "card": rf"\d(?:[ -]?\d){{12,18}}{_END}",
     "ssn": rf"\d{{3}}-\d{{2}}-\d{{4}}{_END}(?!-)",
-    "phone": rf"(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\) ?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{3,4}}{_END}|\+\d{{8,15}}{_END}",
-    "name": rf"(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_WORD}",
+    # Numbers in threes and fours; with all digits after a plus; North American with a leading 1; in pairs; with a slash; international in any groups.
+    "phone": "|".join((
+        rf"(?:\+\d{{1,3}}[ .-]?)?(?:\(\d{{2,4}}\) ?|\d{{2,4}}[ .-])\d{{3,4}}[ .-]?\d{{3,4}}{_END}",
+        rf"\+\d{{8,15}}{_END}",
+        rf"1[ .-](?:\(\d{{3}}\) ?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}{_END}",
+        rf"0\d(?:[ .-]\d{{2}}){{4}}{_END}",
+        rf"0\d{{2,4}} ?/ ?\d{{4,9}}(?:-\d{{1,4}})?{_END}",
+        rf"(?=\+(?:[ ./()-]{{0,2}}\d){{8,15}}{_END})\+\d{{1,3}}(?:[ ./-]?\(?\d{{1,4}}\)?){{2,6}}{_END}",
+    )),
+    "name": rf"(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(CAPITALS)})\.? {_LOUD}(?: {_LOUD})?|(?:{'|'.join(n for names in GIVEN.values() for n in names)}) {_WORD}",
 }
 PATTERN = r"(?<![\p{L}\p{N}_.%+-])(?:" + "|".join(PATTERNS.values()) + ")"
-#: What a text has at least if it has any entity; spares the rest of the pattern.
-HINT = r"[@0-9]|(?:AKIA|ASIA|ghp|gho|sk_|pk_)|(?<!\p{L})(?=\p{Lu}|г-|κ)(?:" + "|".join((*TITLES, *(n for names in GIVEN.values() for n in names))) + r")\.? \p{Lu}"
+#: What a text has at least if it has any entity, kind by kind; spares the rest of the pattern. Every kind's pattern implies a branch: an at sign, a digit,
+#: a prefix of keys, a word for secrets before its sign, or a title or given name before a capital.
+HINT = (
+    r"[@0-9]|(?:AKIA|ASIA|ghp|gho|sk_|pk_)|(?i:token|secret|password|passwd|key)[\"']?\s{0,2}[=:]|(?<!\p{L})(?=\p{Lu}|г-|κ)(?:"
+    + "|".join((*TITLES, *CAPITALS, *(n for names in GIVEN.values() for n in names))) + r")\.? \p{Lu}"
+)
 
 Attempt = Callable[[Column], Column]
 
@@ -92,6 +109,7 @@ def entities(text: Column) -> Column:
 def kind(e: Column) -> Column:
     return (
         F.when(e.contains("@"), "email").when(e.rlike(r"^(?:AKIA|ASIA|ghp_|gho_|sk_|pk_)"), "key").when(e.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ip")
+        .when(e.contains(":") & e.rlike("^[0-9A-Fa-f:]+$"), "ip6")
         .when(e.rlike(r"^[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?$"), "iban").when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
         .when(e.rlike(r"^[A-Za-z0-9]{16,}$") & (e.rlike(r"\d") | ~e.rlike(r"^\p{Lu}\p{Ll}+$")), "secret").when(e.rlike(r"^[+(\d]"), "phone").otherwise("name")
     )
@@ -100,8 +118,8 @@ def kind(e: Column) -> Column:
 def unit(e: Column) -> Column:
     """Kind and canonical form: what is one entity. Of names, each word is its own."""
     plain = F.regexp_replace(e, r"[^\p{L}\p{N}]", "")
-    phone = F.when(e.startswith("+"), F.regexp_replace(plain, r"^1(?=\d{10}$)", "")).otherwise(plain)
-    canonical = lambda k: F.when(k.isin("email", "name"), F.lower(e)).when(k == "ip", e).when(k == "phone", phone).otherwise(plain)
+    phone = F.when(e.rlike(r"^(?:\+|1[ .-])"), F.regexp_replace(plain, r"^1(?=\d{10}$)", "")).otherwise(plain)
+    canonical = lambda k: F.when(k.isin("email", "name", "ip6"), F.lower(e)).when(k == "ip", e).when(k == "phone", phone).otherwise(plain)
     return let(kind(e), lambda k: F.concat(k, F.lit(":"), canonical(k)))
 
 
@@ -218,7 +236,7 @@ def _given(word: Column, key: str) -> Column | None:
 
 
 def _is_title(word: Column) -> Column:
-    return F.regexp_replace(word, r"\.$", "").isin(*TITLES)
+    return F.regexp_replace(word, r"\.$", "").isin(*TITLES, *CAPITALS)
 
 
 def _is_given(word: Column) -> Column:
@@ -243,11 +261,11 @@ def surrogate(e: Column, key: str, attempt: Attempt) -> Column:
 
     def of(k: Column, s: Column, n: Column) -> Column:
         grow = n - ROUNDS
-        code = F.when(e.startswith("+"), F.length(F.regexp_extract(F.regexp_replace(e, r"\D", ""), CODES + r"|^\d{3}", 0))).otherwise(0)
+        code = F.when(e.startswith("+"), F.length(F.regexp_extract(F.regexp_replace(e, r"\D", ""), CODES + r"|^\d{3}", 0))).when(e.rlike(r"^1[ .-]"), 1).otherwise(0)
         octets = F.array_join(F.transform(F.split(e, r"\."), lambda o, i: (1 + _random(s, i) % 254).cast("string")), ".")
         prefix = F.when(e.rlike("^A"), 4).otherwise(F.length(F.regexp_extract(e, "^([a-z]+)_", 1)))
         kept = F.when(k == "key", prefix).when(k == "iban", 2).when(k == "phone", code).otherwise(0)
-        hexadecimal = (k == "secret") & e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
+        hexadecimal = (k == "ip6") | (k == "secret") & e.rlike("^(?:[0-9a-f]+|[0-9A-F]+)$")
         plain = let(_poured(e, s, kept, from_end=k == "phone", hexadecimal=hexadecimal), lambda new: F.when(k == "iban", _iban(e, new)).when(k == "card", _card(e, new)).otherwise(new))
         other = F.when(k == "ip", octets).otherwise(plain)
         names = F.transform(F.split(e, " "), lambda w: F.when(_is_title(w), w).otherwise(_word(w, key, attempt)))
@@ -308,9 +326,9 @@ def _alone(piece: Column, names: Column, key: str, attempt: Attempt) -> Column:
     return F.array_join(F.transform(tokens, one), "")
 
 
-def _replaced(docs: DataFrame, key: str, id_col: str, text_col: str) -> tuple[DataFrame, str, str]:
+def _replaced(docs: DataFrame, key: str, text_col: str) -> tuple[DataFrame, str, str]:
     """(``docs`` with surrogates in the text and two more columns, the name of the number of entities, that of their kinds)."""
-    e, fix, known, count, kinds = (fresh(docs, f"_pii_{k}") for k in ("entities", "fix", "id", "count", "kinds"))
+    e, fix, known, own, count, kinds = (fresh(docs, f"_pii_{k}") for k in ("entities", "fix", "text", "hash", "count", "kinds"))
     source = F.col(text_col).cast("string")
     found = docs.select(F.explode(entities(source)).alias("e")).select(F.explode(_units(F.col("e"))).alias("u"))
     units = cut(found.groupBy("u.unit").agg(F.min("u.example").alias("example")))
@@ -319,10 +337,13 @@ def _replaced(docs: DataFrame, key: str, id_col: str, text_col: str) -> tuple[Da
     if moved is None:
         attempt: Attempt = lambda u: F.lit(0)
     else:
-        hit = rows.select(F.col(id_col).alias("i"), F.explode(e).alias("e")).select("i", F.explode(_units(F.col("e"))).alias("u")).select("i", "u.unit").distinct()
-        fixes = hit.join(bounded(cut(moved)), "unit").groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias(fix))
-        fixes = bounded(cut(fixes.withColumnRenamed("i", known)))
-        rows = rows.join(fixes, F.col(id_col).eqNullSafe(F.col(known)), "left").drop(known)
+        # By text: whatever rows share an id, or have none, each text's exceptions are its own, and there are no more than it has entities.
+        rows = rows.withColumn(own, F.xxhash64(source))
+        hit = rows.select(F.col(own).alias("i"), F.explode(e).alias("e")).select("i", F.explode(_units(F.col("e"))).alias("u")).select("i", "u.unit").distinct()
+        held = cut(hit.join(bounded(cut(moved)), "unit"))
+        fixes = held.groupBy("i").agg(F.map_from_entries(F.collect_list(F.struct("unit", "attempt"))).alias(fix)).withColumnRenamed("i", known)
+        fixes = F.broadcast(fixes) if held.count() <= BROADCAST_ROWS else fixes  # by entries, not by rows
+        rows = rows.join(fixes, F.col(own) == F.col(known), "left").drop(known, own)
         attempt = lambda u: F.coalesce(F.try_element_at(fix, u), F.lit(0))
     pieces = F.split(source, PATTERN, -1)
     between = let(_name_words(F.col(e)), lambda names: F.when(F.size(names) == 0, pieces).otherwise(F.transform(pieces, lambda p: _alone(p, names, key, attempt))))
@@ -337,18 +358,17 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """(doc_id, text, n_entities, kinds): the operator's plain result, one row per row of ``docs``.
 
     Texts without entities are unchanged, null texts stay null, empty ones empty. Very long texts are rebuilt whole, in their
-    row. Repeated rows give repeated results. Ids, of any type, only tell where exceptions go: null and repeated ones are
-    fine. Of entities that want the same surrogate the least keeps it. An empty table gives none; other columns,
+    row. Repeated rows give repeated results. Ids of any type pass, null and repeated ones too. Of entities that want the same surrogate the least keeps it. An empty table gives none; other columns,
     whatever their names, are not read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out, count, kinds = _replaced(rows, key, "doc_id", "text")
+    out, count, kinds = _replaced(rows, key, "text")
     return out.select("doc_id", "text", F.col(count).cast("long").alias("n_entities"), F.array_join(kinds, ",").alias("kinds"))
 
 
-def rewrite(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+def rewrite(docs: DataFrame, key: str, text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The same rows and columns as ``docs``, with the number of characters kept true where there is such a column; else as ``pseudonymise``."""
-    out, count, _ = _replaced(docs, key, id_col, text_col)
+    out, count, _ = _replaced(docs, key, text_col)
     if chars_col in docs.columns:
         kind_of = docs.schema[chars_col].dataType
         out = out.withColumn(chars_col, F.when(F.col(count) > 0, F.char_length(text_col).cast(kind_of)).otherwise(F.col(chars_col)))

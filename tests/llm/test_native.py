@@ -244,3 +244,62 @@ def test_clashing_columns_pass_through(spark):
     out = pii.rewrite(df, "k")
     assert out.columns == names and sorted(tuple(r)[2:] for r in out.collect()) == [tuple(range(10))] * 3
     assert pii.rewrite(df.limit(0), "k").count() == 0
+
+
+PIECES = [
+    "password = ", 'token: "', "secret=", "Key : ", "abcdefghijklmnopqrstuv", "AbCdEfGhIjKlMnOpQrSt12", "deadbeefdeadbeefdead", "James ", "Mr ", "MR. ", "SMITH", "Smith", "Мария ", "Иванова", "κ ", "Παπαδοπούλου",
+    "г-н ", "joe@x.org", "1-212-555-0100", "+33 6 12 34 56 78", "06 12 34 56 78", "030/1234567", "fe80::1", "2001:db8::ff00:42:8329", "std::move", "10.0.0.1", "GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1111",
+    "sk_abcdefghijklmnop1234", "word", " ", " ", ". ", "\n", '"', "Maria ", "Dr", "é",
+]
+
+
+def test_the_hint_loses_nothing(spark):
+    """Entities are the same whether the hint is asked first or not, whatever else stands in the text."""
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice(PIECES) for _ in range(rnd.randint(1, 7))) for _ in range(4000)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    every = F.regexp_extract_all("t", F.lit(pii.PATTERN), F.lit(0))
+    apart = df.select("t", pii.entities(F.col("t")).alias("a"), every.alias("b")).where("a <> b").collect()
+    assert not apart
+    assert df.select(F.explode(every).alias("e")).select(pii.kind(F.col("e")).alias("k")).distinct().count() >= 9
+
+
+@pytest.mark.parametrize(("text", "kind"), [
+    ('password = "abcdefghijklmnopqrstuv"', "secret"), ("call 1-212-555-0100 now", "phone"), ("tel 06 12 34 56 78", "phone"), ("tel +33 6 12 34 56 78.", "phone"), ("Tel.: 030/1234567", "phone"), ("or +44 (0) 20 7946 0958", "phone"),
+    ("at fe80::1:2 and", "ip6"), ("2001:0db8:85a3:0000:0000:8a2e:0370:7334", "ip6"), ("dear MR SMITH,", "name"), ("DR. JANE DOE said", "name"),
+])
+def test_forms_that_are_found(spark, text, kind):
+    got = pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
+    assert (got["n_entities"], got["kinds"]) == (1, kind) and got["text"] != text
+    mark = lambda t: re.sub(r"[^\W\d_]|\d", "x", t)
+    assert mark(got["text"]) == mark(text)
+
+
+@pytest.mark.parametrize("text", ["use std::move and a::b here", "10:30 to 11:45", "MS and DR", "12 34 56", "version 1.2.3.4.5.6", "2024/01/15"])
+def test_what_is_left_alone(spark, text):
+    assert pii.pseudonymise(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()["text"] == text
+
+
+def test_north_american_forms_are_one(spark):
+    rows = [(i, t) for i, t in enumerate(["+1 212 555 0100", "1-212-555-0100", "+1-212-555-0100", "(212) 555-0100"])]
+    got = [re.sub(r"\D", "", r["text"])[-10:] for r in pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()]
+    assert len(set(got)) == 1 and got[0] != "2125550100"
+    assert pii.pseudonymise(spark.createDataFrame([(1, "1-212-555-0100")], "doc_id long, text string"), "k").first()["text"].startswith("1-")
+
+
+def test_exceptions_of_rows_without_an_id(spark):
+    """Collisions among short names, in rows that all lack an id: distinct names stay distinct, one name stays one."""
+    names = ["".join((a, b)) for a in "ABCDEFGH" for b in "aeiou"]
+    rows = [(None, f"Mr {n} met Mrs {m}") for n in names for m in names[:6]]
+    got = pii.pseudonymise(spark.createDataFrame(rows, "doc_id long, text string"), "k").collect()
+    new = {}
+    assert len(got) == len(rows)
+    for (_, old), r in zip(sorted(rows, key=lambda x: x[1]), sorted(got, key=lambda r: r["text"])):
+        assert r["n_entities"] == 2
+    by = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    for r in pii.pseudonymise(by, "k").collect():
+        old, now = rows[r["doc_id"]][1].split(), r["text"].split()
+        for i in (1, 4):
+            assert new.setdefault(old[i], now[i]) == now[i]
+    assert len(set(new.values())) == len(new)
+    assert sorted(r["text"] for r in got) == sorted(r["text"] for r in pii.pseudonymise(by, "k").collect())
