@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pyarrow as pa
@@ -19,12 +19,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from headwater.functions.rules import PROVENANCE, SCHEMA_VERSION
-from headwater.sources.config_files import _FALSE, _TRUE, FILES, ConfigInvalid, Violation
+from headwater.operators.network import checkpointed
+from headwater.sources.config_files import _FALSE, _TRUE, FILES, ConfigInvalid, Field, Violation
 
 _FOUND = "struct<path: string, rule: string, found: string, expected: string>"
 #: Texts that Python reads as a float, underscores between digits included.
 _FLOAT = r"(?i)^\s*[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?(?:e[+-]?\d+(?:_\d+)*)?|\.\d+(?:_\d+)*(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity|nan)\s*$"
 
+#: The same safe loader in C where it is built in.
+_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 #: The key of a value that JSON cannot hold.
 OTHER = "\x01"
 
@@ -56,7 +59,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column("text").to_pylist():
                 odd: list[str] = []
                 try:
-                    body, problem = json.dumps(_plain(yaml.safe_load(text or ""), "", odd)), None
+                    body, problem = json.dumps(_plain(yaml.load(text or "", Loader=_LOADER), "", odd)), None
                 except (yaml.YAMLError, RecursionError, ValueError) as e:
                     body, problem = None, str(e)[:200]
                 bodies.append(body)
@@ -67,24 +70,23 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _kind(v: Column) -> Column:
     """OBJECT, ARRAY, STRING, BOOLEAN, VOID or a number's type; null if there is nothing."""
-    return F.regexp_extract(F.schema_of_variant(v), r"^\w+", 0)
+    return F.substring_index(F.substring_index(F.schema_of_variant(v), "<", 1), "(", 1)
 
 
 def _other(v: Column) -> Column:
     return F.try_variant_get(v, f"$['{OTHER}']", "string")
 
 
-def _is_record(v: Column) -> Column:
-    return F.coalesce((_kind(v) == "OBJECT") & _other(v).isNull(), F.lit(False))
+def _is_record(v: Column, own: Column) -> Column:
+    return F.coalesce((own == "OBJECT") & _other(v).isNull(), F.lit(False))
 
 
 def _text(v: Column) -> Column:
     return F.substring(F.coalesce(_other(v), F.try_variant_get(v, "$", "string"), F.to_json(v)), 1, 200)
 
 
-def _cast(kind: str, v: Column) -> Column:
-    """The lenient scalar casts; null where there is none."""
-    own = _kind(v)
+def _cast(kind: str, v: Column, own: Column) -> Column:
+    """The lenient scalar casts of a value of the kind ``own``; null where there is none."""
     string, text = own == "STRING", F.try_variant_get(v, "$", "string")
     boolean, flag = own == "BOOLEAN", F.try_variant_get(v, "$", "boolean")
     number = ~own.isin("STRING", "BOOLEAN", "OBJECT", "ARRAY", "VOID")
@@ -119,30 +121,49 @@ def _broken(where: Column, path: Column, rule: str, found: Column, expected: str
     return F.when(where, F.struct(path.alias("path"), F.lit(rule).alias("rule"), found.alias("found"), F.lit(expected).alias("expected")))
 
 
-def _check(kind: Any, required: bool, v: Column, path: Column, inside: Column) -> tuple[Column, list[Column]]:
-    """(typed value, violations) of a field of a record that is there (``inside``)."""
+Held = Callable[[tuple[str, ...]], tuple[Column, Column]]
+
+
+def _check(kind: Any, required: bool, at: tuple[str, ...], held: Held, path: Column, inside: Column) -> tuple[Column, list[Column]]:
+    """(typed value, violations) of a field of a record that is there (``inside``). ``held`` gives the value and its kind at a place."""
+    v, own = held(at)
     absent = v.isNull()
     none = F.lit(None).cast("string")
     missing = [_broken(inside & absent, path, "required", none, "a value")] if required else []
     if isinstance(kind, dict):
-        record = _is_record(v)
+        record = _is_record(v, own)
         fields, found = [], [*missing, _broken(inside & ~absent & ~record, path, "type", _text(v), "record")]
         for name, f in kind.items():
-            value, more = _check(f.kind, f.required, F.variant_get(v, f"$.{name}", "variant"), F.concat(path, F.lit(f".{name}")), inside & record)
+            value, more = _check(f.kind, f.required, (*at, name), held, F.concat(path, F.lit(f".{name}")), inside & record)
             fields.append(value.alias(name))
             found += more
         return F.struct(*fields), found
     if kind == "free":
-        record = _is_record(v)
+        record = _is_record(v, own)
         empty = F.parse_json(F.lit("{}")) if not required else F.lit(None).cast("variant")
         return F.when(record, v).when(absent, empty), [*missing, _broken(inside & ~absent & ~record, path, "type", _text(v), "map")]
     null = F.coalesce(F.is_variant_null(v), F.lit(False))
-    value = _cast(kind, v)
+    value = _cast(kind, v, own)
     wrong = inside & ~absent & value.isNull() & (F.lit(True) if required else ~null)
     rule, expected = ("enum", " | ".join(PROVENANCE)) if kind == "prov" else ("type", kind)
     return value.cast(_typed(kind)), [*missing, _broken(wrong, path, rule, F.when(~null, _text(v)), expected)]
 
 
+def _places(kind: Any, at: tuple[str, ...] = ()) -> Iterator[tuple[str, ...]]:
+    """The places of a record and of all its fields."""
+    yield at
+    for name, f in kind.items() if isinstance(kind, dict) else ():
+        yield from _places(f.kind, (*at, name))
+
+
+def _staged(df: DataFrame, record: Column, kind: Any) -> tuple[DataFrame, Held]:
+    """``df`` with a column for the value at each place of ``record`` and one for its kind, so that each is taken out once."""
+    number = {at: i for i, at in enumerate(_places(kind))}
+    values = {f"_v{i}": F.variant_get(record, ".".join(["$", *at]), "variant") for at, i in number.items()}
+    kinds = {f"_k{i}": _kind(F.col(f"_v{i}")) for i in number.values()}
+    return df.withColumns(values).withColumns(kinds), lambda at: (F.col(f"_v{number[at]}"), F.col(f"_k{number[at]}"))
+
+
 def check(name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(records, violations) of documents (file, text) of one of the six kinds.
 
@@ -153,10 +174,12 @@ def check(name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     payload, kind = FILES[name]
     source = docs.select(F.col("file").cast("string").alias("file"), F.col("text").cast("string").alias("text"))
-    parsed = source.mapInArrow(_parse, "file string, body string, odd array<string>, problem string").withColumn("v", F.parse_json("body"))
-    there, at = _is_record(F.col("v")), F.lit(payload)
-    body, version = F.variant_get("v", f"$.{payload}", "variant"), F.variant_get("v", "$.schema_version", "variant")
-    stated, faults = _check("str", True, version, F.lit("schema_version"), there)
+    # Parsed once; records and violations are two readings of it.
+    parsed = checkpointed(source.mapInArrow(_parse, "file string, body string, odd array<string>, problem string")).withColumn("v", F.parse_json("body"))
+    parsed, held = _staged(parsed, F.col("v"), {"schema_version": Field("str", True), payload: Field("free", True)})
+    (top, top_kind), (body, body_kind), at = held(()), held((payload,)), F.lit(payload)
+    there = _is_record(top, top_kind)
+    stated, faults = _check("str", True, ("schema_version",), held, F.lit("schema_version"), there)
     faults = [
         _broken(F.col("problem").isNotNull(), F.lit(""), "syntax", F.col("problem"), "one YAML document"),
         _broken(F.col("problem").isNull() & ~there, F.lit(""), "type", _text(F.col("v")), "record"),
@@ -164,7 +187,7 @@ def check(name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         _broken(there & body.isNull(), at, "required", F.lit(None).cast("string"), "a value"),
     ]
     shape = "ARRAY" if isinstance(kind, tuple) and kind[0] == "list" else "OBJECT"
-    fits = F.coalesce(_kind(body) == "ARRAY", F.lit(False)) if shape == "ARRAY" else _is_record(body)
+    fits = F.coalesce(body_kind == "ARRAY", F.lit(False)) if shape == "ARRAY" else _is_record(body, body_kind)
     of = "list" if shape == "ARRAY" else "record" if isinstance(kind, dict) else "map"
     faults.append(_broken(there & ~body.isNull() & ~fits, at, "type", _text(body), of))
     whole = F.filter(F.array(*faults), lambda x: x.isNotNull())
@@ -173,19 +196,20 @@ def check(name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         whole = F.concat(whole, keys)
     files = parsed.select("file", body.alias("body"), fits.alias("fits"), whole.cast(f"array<{_FOUND}>").alias("faults"))
     none = F.lit(None)
-    held = files.where("fits")
+    fit = files.where("fits")
     if isinstance(kind, dict):
-        each, record = held.select("file", none.cast("int").alias("place"), none.cast("string").alias("key"), F.col("body").alias("r"), at.alias("at")), kind
+        each, record = fit.select("file", none.cast("int").alias("place"), none.cast("string").alias("key"), F.col("body").alias("r"), at.alias("at")), kind
     elif shape == "ARRAY":
-        items = held.select("file", F.posexplode(F.variant_get("body", "$", "array<variant>")).alias("place", "r"))
+        items = fit.select("file", F.posexplode(F.variant_get("body", "$", "array<variant>")).alias("place", "r"))
         each, record = items.select("file", "place", none.cast("string").alias("key"), "r", F.concat(at, F.lit("["), F.col("place").cast("string"), F.lit("]")).alias("at")), kind[1]
     else:
-        items = held.select("file", F.explode(F.variant_get("body", "$", "map<string,variant>")).alias("key", "r"))
+        items = fit.select("file", F.explode(F.variant_get("body", "$", "map<string,variant>")).alias("key", "r"))
         each, record = items.select("file", none.cast("int").alias("place"), "key", "r", F.concat(at, F.lit("."), "key").alias("at")), kind[1] if isinstance(kind, tuple) else None
     if record is None:  # free rules: any value goes
         checked = each.select("file", "place", "key", F.col("r").alias("record"), F.array().cast(f"array<{_FOUND}>").alias("faults"))
     else:
-        value, found = _check(record, False, F.col("r"), F.col("at"), F.lit(True))
+        each, held = _staged(each, F.col("r"), record)
+        value, found = _check(record, False, (), held, F.col("at"), F.lit(True))
         checked = each.select("file", "place", "key", value.alias("record"), F.filter(F.array(*found), lambda x: x.isNotNull()).cast(f"array<{_FOUND}>").alias("faults"))
     broken = files.select("file", F.explode("faults").alias("x")).unionByName(checked.select("file", F.explode("faults").alias("x")))
     return checked.drop("faults"), broken.select("file", "x.*")
