@@ -62,8 +62,8 @@ def format_chat(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role
 
     The segments joined are the formatted text; those with loss are the (escaped) assistant texts. Null role or text:
     empty; a null turn comes first; rows with the same turn are ordered by role, then text, and repeated rows stay.
-    Rows with a null conversation id are one conversation. An empty table gives none. A conversation is one row of the
-    result, so its turns do meet in one task; nothing else does.
+    Rows with a null conversation id are one conversation; ids keep their type. An empty table gives none. A conversation is one row of the
+    result, so its turns do meet in one task; nothing else does. Very long texts stand whole in that row. Other columns, whatever their names, are not read.
     """
     t = F.struct(F.col(turn).alias("turn"), F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     got = rows.select(F.col(conv).alias("conv_id"), t.alias("t")).groupBy("conv_id").agg(F.collect_list("t").alias("turns"))

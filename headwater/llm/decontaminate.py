@@ -190,7 +190,11 @@ def _without(index, text_col: str):
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows in whose text no benchmark item was found, with all their columns; ids play no part, so null and repeated ones need no care."""
+    """Rows in whose text no benchmark item was found, with all their columns; ids play no part, so null and repeated ones need no care.
+
+    Null, empty and word-less texts stay. A very long text is one piece, whose windows are looked at in blocks. Column names may clash with any of
+    the operator's own, as rows pass as they are. An empty table gives none, and with an empty benchmark all rows stay.
+    """
     out = docs
     for index in _indexes(benchmark, "item_id", "text"):
         out = out.mapInArrow(tidy(_without(docs.sparkSession.sparkContext.broadcast(index), text_col)), docs.schema)

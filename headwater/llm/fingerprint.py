@@ -105,7 +105,11 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fingerprint): one row per row of ``docs``, without a shuffle. Null text: empty, with an empty fingerprint."""
+    """(doc_id, fingerprint): one row per row of ``docs``, without a shuffle. Null text: empty, with an empty fingerprint.
+
+    Null and repeated ids and repeated rows pass as they are; ids keep their type. A very long text is one row, whose arrays of longs take some
+    twenty bytes a piece. Other columns, whatever their names, are not read. An empty table gives none.
+    """
     return docs.select(F.col(id_col).alias("doc_id"), as_text(signature(F.coalesce(F.col(text_col).cast("string"), F.lit("")))).alias("fingerprint"))
 
 

@@ -132,7 +132,8 @@ def dedup_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     The first place of a run is in the document with the least id. Rows that share an id and the text count as one
     document (the same text twice under one id is not a repeat); different texts of an id are documents of their own,
     in order of their hashes, and so are those of null ids, which come last. Null text: empty.
-    Texts under two sentences or sixteen words have no runs and stay as they are. An empty table gives none.
+    Texts under two sentences or sixteen words have no runs and stay as they are. A very long text is one piece, whose arrays take
+    some twelve bytes a byte. Ids are cast to long. Other columns, whatever their names, are not read. An empty table gives none.
     Common runs are pre-aggregated before the shuffle; the join back is left to AQE's splitting of hot keys.
     """
     source = _keyed(docs, id_col, text_col)
