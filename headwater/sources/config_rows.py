@@ -8,6 +8,7 @@ a row; nothing comes to the driver.
 
 from __future__ import annotations
 
+import functools
 import json
 import math
 from collections.abc import Callable, Iterator
@@ -26,10 +27,26 @@ _FOUND = "struct<path: string, rule: string, found: string, expected: string>"
 #: Texts that Python reads as a float, underscores between digits included.
 _FLOAT = r"(?i)^\s*[+-]?(?:\d+(?:_\d+)*\.?(?:\d+(?:_\d+)*)?(?:e[+-]?\d+(?:_\d+)*)?|\.\d+(?:_\d+)*(?:e[+-]?\d+(?:_\d+)*)?|inf|infinity|nan)\s*$"
 
-#: The same safe loader in C where it is built in.
-_LOADER = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
 #: The key of a value that JSON cannot hold.
 OTHER = "\x01"
+#: Longer texts are not remembered.
+LONG = 64
+_STR, _MAP, _SEQ = (f"tag:yaml.org,2002:{t}" for t in ("str", "map", "seq"))
+_PLAIN_TAGS = yaml.resolver.Resolver()
+
+
+@functools.lru_cache(1 << 16)
+def _tag(value: str, implicit: tuple[bool, bool]) -> str:
+    return _PLAIN_TAGS.resolve(yaml.ScalarNode, value, implicit)
+
+
+class _Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
+    """The safe loader, in C where it is built in; what a scalar without a tag is depends on its text alone, and is remembered."""
+
+    def resolve(self, kind: type, value: str, implicit: Any) -> str:
+        if kind is not yaml.ScalarNode or len(value) > LONG:
+            return super().resolve(kind, value, implicit)
+        return _tag(value, tuple(implicit))
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
@@ -51,6 +68,44 @@ def _plain(value: Any, path: str, odd: list[str]) -> Any:
     return {OTHER: str(value)}
 
 
+@functools.lru_cache(1 << 16)
+def _scalar(tag: str, value: str) -> str:
+    return json.dumps(_plain(yaml.constructor.SafeConstructor().construct_object(yaml.ScalarNode(tag, value)), "", []))
+
+
+class _Uncommon(Exception):
+    """Tags, keys or merges that take the loader's own way."""
+
+
+def _json(node: yaml.Node) -> str:
+    """The JSON of a node whose records have plain text keys and whose lists are plain, as ``_plain`` would have it."""
+    if isinstance(node, yaml.ScalarNode):
+        return (_scalar if len(node.value) <= LONG else _scalar.__wrapped__)(node.tag, node.value)
+    if node.tag == _SEQ and isinstance(node, yaml.SequenceNode):
+        return f"[{', '.join([_json(x) for x in node.value])}]"
+    if node.tag != _MAP or not isinstance(node, yaml.MappingNode):
+        raise _Uncommon
+    held = {}
+    for k, v in node.value:
+        if k.tag != _STR or not isinstance(k, yaml.ScalarNode):
+            raise _Uncommon
+        held[k.value] = _json(v)
+    return f"{{{', '.join([f'{json.dumps(k)}: {v}' for k, v in held.items()])}}}"
+
+
+def _body(text: str, odd: list[str]) -> str:
+    """The JSON of one document."""
+    loader = _Loader(text)
+    try:
+        node = loader.get_single_node()
+        try:
+            return "null" if node is None else _json(node)
+        except (_Uncommon, yaml.YAMLError, RecursionError, ValueError):
+            return json.dumps(_plain(loader.construct_document(node), "", odd))
+    finally:
+        loader.dispose()
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for start in range(0, batch.num_rows, 256):  # documents may be long
@@ -59,7 +114,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for text in part.column("text").to_pylist():
                 odd: list[str] = []
                 try:
-                    body, problem = json.dumps(_plain(yaml.load(text or "", Loader=_LOADER), "", odd)), None
+                    body, problem = _body(text or "", odd), None
                 except (yaml.YAMLError, RecursionError, ValueError) as e:
                     body, problem = None, str(e)[:200]
                 bodies.append(body)
@@ -121,6 +176,11 @@ def _broken(where: Column, path: Column, rule: str, found: Column, expected: str
     return F.when(where, F.struct(path.alias("path"), F.lit(rule).alias("rule"), found.alias("found"), F.lit(expected).alias("expected")))
 
 
+def _all(faults: list[Column]) -> Column:
+    """The violations of a record with nulls between them; null where there is none, as in most records."""
+    return F.when(F.coalesce(*faults).isNotNull(), F.array(*faults)).cast(f"array<{_FOUND}>")
+
+
 Held = Callable[[tuple[str, ...]], tuple[Column, Column]]
 
 
@@ -190,11 +250,11 @@ def check(name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     fits = F.coalesce(body_kind == "ARRAY", F.lit(False)) if shape == "ARRAY" else _is_record(body, body_kind)
     of = "list" if shape == "ARRAY" else "record" if isinstance(kind, dict) else "map"
     faults.append(_broken(there & ~body.isNull() & ~fits, at, "type", _text(body), of))
-    whole = F.filter(F.array(*faults), lambda x: x.isNotNull())
+    whole = _all(faults)
     if isinstance(kind, tuple) and kind[0] == "map" or kind == "free":
         keys = F.transform(F.filter("odd", lambda p: p.rlike(rf"^{payload}\.[^.\[]+$")), lambda p: F.struct(p.alias("path"), F.lit("type").alias("rule"), F.substring_index(p, ".", -1).alias("found"), F.lit("string key").alias("expected")))
-        whole = F.concat(whole, keys)
-    files = parsed.select("file", body.alias("body"), fits.alias("fits"), whole.cast(f"array<{_FOUND}>").alias("faults"))
+        whole = F.concat(F.coalesce(whole, F.array().cast(f"array<{_FOUND}>")), keys)
+    files = parsed.select("file", body.alias("body"), fits.alias("fits"), whole.alias("faults"))
     none = F.lit(None)
     fit = files.where("fits")
     if isinstance(kind, dict):
@@ -210,9 +270,10 @@ def check(name: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     else:
         each, held = _staged(each, F.col("r"), record)
         value, found = _check(record, False, (), held, F.col("at"), F.lit(True))
-        checked = each.select("file", "place", "key", value.alias("record"), F.filter(F.array(*found), lambda x: x.isNotNull()).cast(f"array<{_FOUND}>").alias("faults"))
-    broken = files.select("file", F.explode("faults").alias("x")).unionByName(checked.select("file", F.explode("faults").alias("x")))
-    return checked.drop("faults"), broken.select("file", "x.*")
+        checked = each.select("file", "place", "key", value.alias("record"), _all(found).alias("faults"))
+    # The outer form: for a plain explode Spark adds a filter on its array and moves it below the staged columns, which are then taken out again for each use.
+    broken = files.select("file", F.explode_outer("faults").alias("x")).unionByName(checked.select("file", F.explode_outer("faults").alias("x")))
+    return checked.drop("faults"), broken.where("x is not null").select("file", "x.*")
 
 
 def load(name: str, docs: DataFrame) -> DataFrame:

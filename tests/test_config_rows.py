@@ -112,3 +112,29 @@ def test_files_and_failures(spark, tmp_path):
     assert cr.load("scenarios", docs.where("file like '%a.yaml'")).count() == 1
     with pytest.raises(cf.ConfigInvalid, match="schema_version"):
         cr.load("scenarios", docs)
+
+
+def test_kinds_are_taken_out_once(spark):
+    """A filter that Spark infers for an exploded array must not take every place out of the records again."""
+    _, broken = cr.check("experiments", spark.createDataFrame([("a", "x: 1")], "file string, text string"))
+    plan = broken._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("SchemaOfVariant.schemaOfVariant(") <= 20  # 14 places of a record, 3 of a file, and the filter of files
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "a: &x {p: 1}\nb: {<<: *x, q: 2}\nc: [*x, *x]\n", "a: 1\na: 2\n", "1: a\n'1': b\nnull: c\n", "? [a]\n: 1\n", "a: !!set {x, y}\n", "a: !!omap [x: 1]\n", "a: !!binary aGk=\n", "a: !!str 5\nb: !!int '7'\n",
+        "a: !!int x\n", "a: !other 1\n", "&a [*a]\n", "a: 2020-01-01\nb: .inf\nc: 0x1F\nd: 1_000\ne: 1e3\nf: ~\ng: 'yes'\nh: yes\n", "a: =\n", "=: 1\n", "- é\n- \"\\u2028\"\n", "a: " + "x" * 300, "", "a: [1", "x: 1\n---\ny: 2\n", "\x00", "a: b: c", "'a': " + "[" * 50 + "]" * 50,
+    ],
+)
+def test_json_is_that_of_the_safe_loader(text):
+    def of(f):
+        odd = []
+        try:
+            return f(odd), odd
+        except (yaml.YAMLError, RecursionError, ValueError) as e:
+            return type(e), str(e)[:200]
+
+    loader = getattr(yaml, "CSafeLoader", yaml.SafeLoader)
+    assert of(lambda odd: cr._body(text, odd)) == of(lambda odd: cr.json.dumps(cr._plain(yaml.load(text, Loader=loader), "", odd)))
