@@ -54,21 +54,55 @@ def experiment_lines(spark: SparkSession, d: str) -> DataFrame:
     return result
 
 
-def _choices(spark: SparkSession, d: str) -> DataFrame:
-    """Customers and suppliers of one nation under the access rule and a cut-off, as requests and the shelters that they may ask."""
-    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("zone"), "c_custkey", "c_mktsegment", "c_acctbal")
-    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("zone"), "s_suppkey", "s_acctbal")
+#: The cut-off of travel to a shelter.
+CUT_OFF = 4000.0
+
+
+def _eligible(c: DataFrame, s: DataFrame, reach: float) -> DataFrame:
+    """Customers and suppliers of one nation under the access rule within a reach, with the travel."""
     none = F.lit(False)
-    pairs = shelter.eligible_pairs(c, s, ["zone"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 0, True), none, none, ("c_acctbal", "s_acctbal"), 4000.0)
-    travel = F.abs(F.col("c_acctbal") - F.col("s_acctbal"))
-    return pairs.select(F.col("c_custkey").alias("request"), F.struct(travel.alias("travel"), "s_suppkey").alias("place"), F.col("s_suppkey").alias("shelter"), travel.alias("priority"))
+    pairs = shelter.eligible_pairs(c, s, ["zone"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 0, True), none, none, ("c_acctbal", "s_acctbal"), reach)
+    return pairs.withColumn("travel", F.abs(F.col("c_acctbal") - F.col("s_acctbal")))
+
+
+def _nearest(c: DataFrame, s: DataFrame, ends: list[float]) -> DataFrame:
+    """(request, nearest): the least travel of every customer that has an eligible supplier; only those without one look further."""
+    out, rest = None, c
+    for reach in ends:
+        found = network.checkpointed(_eligible(rest, s, reach).groupBy(F.col("c_custkey").alias("request")).agg(F.min("travel").alias("nearest")))
+        rest = rest.join(found.select(F.col("request").alias("c_custkey")), "c_custkey", "left_anti")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def shelter_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """D9 with D10, D11: each customer takes one place at any eligible supplier of its nation within the cut-off, the nearest that keeps it; a supplier has room for one a whole thousand of its balance, without limit where that is negative."""
+    """D9 with D10, D11: each customer takes one place at any eligible supplier of its nation within the cut-off, the nearest that keeps it; a supplier has room for one a whole thousand of its balance, without limit where that is negative.
+
+    The lists of all pairs are never held: nearer suppliers are asked first, further ones only by the refused, and only those that may keep somebody
+    from so far. Nobody looks beyond the nearest supplier without limit, which keeps all.
+    """
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("zone"), "c_custkey", "c_mktsegment", "c_acctbal")
+    s = table(spark, d, "supplier").select(F.col("s_nationkey").alias("zone"), "s_suppkey", "s_acctbal")
     room = F.when(F.col("s_acctbal") >= 0, F.floor(F.col("s_acctbal") / 1000)).alias("capacity")
-    shelters = table(spark, d, "supplier").select(F.col("s_suppkey").alias("shelter"), room)
-    out = assignment.assign(_choices(spark, d), shelters)
+    shelters = s.select(F.col("s_suppkey").alias("shelter"), room)
+    steps = assignment.rings(c, s, ["zone"], "c_acctbal", "s_acctbal", CUT_OFF)
+    ends = [up for _, up in steps]
+    endless = network.checkpointed(_nearest(c, s.where("s_acctbal < 0"), ends))
+
+    def part(over: float, up: float) -> assignment.Part:
+        def choices(asking: DataFrame, some: DataFrame) -> DataFrame:
+            left = c.join(asking.withColumnRenamed("request", "c_custkey"), "c_custkey")
+            left = left.join(endless.withColumnRenamed("request", "c_custkey"), "c_custkey", "left").where(F.col("nearest").isNull() | (F.col("nearest") > over))
+            right = s.join(some.withColumnRenamed("shelter", "s_suppkey"), "s_suppkey")
+            if over >= 0:  # a full shelter's bar is the travel of the last that it keeps
+                right = right.where(F.col("bar").isNull() | (F.col("bar.priority") > over))
+            travel = F.col("travel")
+            near = _eligible(left, right.drop("bar"), up).where((travel > over) & (F.col("nearest").isNull() | (travel <= F.col("nearest"))))
+            return near.select(F.col("c_custkey").alias("request"), F.struct(travel.alias("travel"), "s_suppkey").alias("place"), F.col("s_suppkey").alias("shelter"), travel.alias("priority"))
+
+        return choices
+
+    out = assignment.assign_parts(_nearest(c, s, ends), [part(*x) for x in steps], shelters)
     named = out.join(shelters, "shelter", "left")
     return named.select(F.col("request").alias("c_custkey"), F.col("shelter").alias("s_suppkey"), F.when(F.col("shelter").isNotNull(), F.col("capacity").isNull()).alias("uncapacitated"))
 

@@ -192,3 +192,24 @@ def test_flow_that_has_to_turn_back(spark):
     assert got.value == ford_fulkerson(edges, 0, 5) == 11
     none = flow.max_flow(spark.createDataFrame([(0, 1, 5), (2, 3, 5)], "src long, dst long, capacity long"), 0, 3)
     assert none.value == 0 and none.cut.isEmpty()
+
+
+def test_lists_in_parts_are_asked_for_by_the_refused_alone(spark):
+    """Parts give what whole lists give, also where a later part's request displaces an earlier one; full shelters' bars come with the call."""
+    rnd, seen = random.Random(5), []
+    choices = [(r, p, s, rnd.randrange(4)) for r in range(30) for p, s in enumerate(rnd.sample(range(12), 6))]
+    df = spark.createDataFrame(choices, "request long, place int, shelter long, priority int").cache()
+    shelters = spark.createDataFrame([(s, None if s == 11 else s % 3) for s in range(12)], "shelter long, capacity long")
+
+    def part(low, high):
+        def of(asking, some):
+            seen.append((low, asking.count(), some.where("bar is not null").count()))
+            return df.where(f"place between {low} and {high}").join(asking, "request").select(*df.columns)
+
+        return of
+
+    got = assignment.assign_parts(df.select("request"), [part(0, 1), part(2, 5)], shelters)
+    assert sorted(map(str, got.collect())) == sorted(map(str, assignment.assign(df, shelters).collect()))
+    assert seen[0] == (0, 30, 0) and all(n < 30 and full > 0 for low, n, full in seen[1:])
+    steps = assignment.rings(df, df, ["shelter"], "place", "place", 4.0, 2)
+    assert steps[0][0] < 0 and steps[-1][1] == 4.0 and [up for _, up in steps[:-1]] == [over for over, _ in steps[1:]] and len(steps) > 1
