@@ -213,3 +213,13 @@ def test_lists_in_parts_are_asked_for_by_the_refused_alone(spark):
     assert seen[0] == (0, 30, 0) and all(n < 30 and full > 0 for low, n, full in seen[1:])
     steps = assignment.rings(df, df, ["shelter"], "place", "place", 4.0, 2)
     assert steps[0][0] < 0 and steps[-1][1] == 4.0 and [up for _, up in steps[:-1]] == [over for over, _ in steps[1:]] and len(steps) > 1
+
+
+def test_dealt_joins_keep_their_tasks_and_rows(spark):
+    """Few keys with many pairs and few bytes are dealt to several tasks; the pairs are those of the plain join."""
+    a = spark.range(300).selectExpr("id % 2 k", "id a", "double(id % 7) x")
+    b = spark.range(200).selectExpr("id % 2 k", "id b", "double(id % 5) y")
+    got = assignment.within_range(a, b, ["k"], "x", "y", 2.0, tasks=16)
+    assert sorted(got.select("a", "b").collect()) == sorted(assignment.within_range(a, b, ["k"], "x", "y", 2.0).select("a", "b").collect())
+    held = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) >= 4
