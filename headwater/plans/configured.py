@@ -93,12 +93,18 @@ def overlay_links(spark: SparkSession, d: str) -> DataFrame:
 
 
 def reachable_pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs of one region under the access rule whose shelter's nation can be reached in one hop, counted by nations over all rows."""
+    """Every pair of one region under the access rule whose shelter's nation can be reached in one hop, over all rows.
+
+    Nations decide which can be reached, so each customer first gets the few nations where it may look; pairs are listed last.
+    """
     n = table(spark, d, "nation").select(F.col("n_nationkey").alias("node"), F.col("n_regionkey").alias("zone"))
-    c = table(spark, d, "customer").join(F.broadcast(n), F.col("c_nationkey") == F.col("node")).select("zone", "c_nationkey", "c_mktsegment")
-    s = table(spark, d, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("node")).select("zone", "s_nationkey", "s_acctbal")
-    pairs = shelter.eligible_counts(c, s, ["c_nationkey"], ["s_nationkey"], ["zone"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 0, True))
-    return shelter.reachable_pairs(pairs, network.reach_pairs(edges_of(spark, d), n, 1), "c_nationkey", "s_nationkey").select("c_nationkey", "s_nationkey", "pairs")
+    near = n.select(F.col("node").alias("c_nationkey"), "zone").join(n.select(F.col("node").alias("s_nationkey"), "zone"), "zone").select("c_nationkey", "s_nationkey")
+    reached = shelter.reachable_pairs(near, network.reach_pairs(edges_of(spark, d), n, 1), "c_nationkey", "s_nationkey")
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").join(F.broadcast(reached), "c_nationkey")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    none = F.lit(False)
+    pairs = shelter.eligible_pairs(c, s, ["s_nationkey"], F.col("c_mktsegment") == "BUILDING", F.when(F.col("s_acctbal") > 0, True), none, none, tasks=4 * spark.sparkContext.defaultParallelism)
+    return pairs.select("c_custkey", "s_suppkey")
 
 
 def dasymetric_demand(spark: SparkSession, d: str) -> DataFrame:
@@ -173,8 +179,8 @@ SQL: dict[str, str] = {
       FROM (SELECT * FROM sc WHERE baseline OR threshold IS NOT NULL) s CROSS JOIN lineitem LEFT JOIN m ON l_partkey = p_partkey AND m.scenario = s.scenario WHERE baseline OR depth IS NULL OR NOT (depth >= threshold) GROUP BY 1""",
     "reachable_pairs": """WITH g AS (SELECT DISTINCT c_nationkey AS src, s_nationkey AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
       UNION SELECT n_nationkey, n_nationkey FROM nation)
-      SELECT c_nationkey, s_nationkey, count(*) AS pairs FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey
-      WHERE (c_mktsegment <> 'BUILDING' OR s_acctbal > 0) AND EXISTS (SELECT 1 FROM g WHERE src = c_nationkey AND dst = s_nationkey) GROUP BY 1, 2""",
+      SELECT c_custkey, s_suppkey FROM customer JOIN nation a ON c_nationkey = a.n_nationkey JOIN nation b ON a.n_regionkey = b.n_regionkey JOIN supplier ON s_nationkey = b.n_nationkey
+      WHERE (c_mktsegment <> 'BUILDING' OR s_acctbal > 0) AND EXISTS (SELECT 1 FROM g WHERE src = c_nationkey AND dst = s_nationkey)""",
     "dasymetric_demand": """WITH c AS (SELECT c_nationkey, c_mktsegment, greatest(floor(c_acctbal), 0) AS w, count(*) OVER (PARTITION BY c_nationkey) * 1000 AS people, sum(greatest(floor(c_acctbal), 0)) OVER (PARTITION BY c_nationkey) AS total FROM customer)
       SELECT c_mktsegment, CAST(sum(CASE WHEN total > 0 THEN floor(people * w / total) END) AS BIGINT) AS demand, count(*) AS n FROM c GROUP BY 1""",
     "experiment_routes": f"""WITH RECURSIVE l AS (SELECT c_nationkey AS src, s_nationkey AS dst, l_quantity AS q, l_discount AS depth FROM lineitem JOIN orders ON l_orderkey = o_orderkey

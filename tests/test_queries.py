@@ -34,3 +34,11 @@ def test_graph_has_every_lineitem(spark):
       JOIN '{SF}/customer.parquet' ON o_custkey = c_custkey JOIN '{SF}/supplier.parquet' ON l_suppkey = s_suppkey WHERE c_nationkey = 0""").fetchall()
     hops = {r["node"]: r["hops"] for r in QUERIES["reach_hops"](spark, SF).collect()}
     assert {n for n, h in hops.items() if h <= 1} == {0, *[n for n, in want]}
+
+
+def test_reachable_pairs_are_pairs_of_all_rows(spark):
+    """Every pair is listed, of customers of any balance, not a count by nations."""
+    got = QUERIES["reachable_pairs"](spark, SF)
+    assert got.columns == ["c_custkey", "s_suppkey"] and got.count() == got.distinct().count() > 125
+    poor = duckdb.sql(f"SELECT c_custkey FROM '{SF}/customer.parquet' WHERE c_acctbal < 9000").fetchall()
+    assert {r["c_custkey"] for r in got.select("c_custkey").distinct().collect()} & {c for c, in poor}
