@@ -71,7 +71,8 @@ def overlay_polygons(links: DataFrame, polygons: DataFrame, cell: float) -> Data
     rings = rings.select("*", F.explode(_cells(F.col("_px"), F.col("_py"), F.col("_qx"), F.col("_qy"), cell)).alias("_cell"))
     common = (F.col("_lx") <= F.col("_qx")) & (F.col("_px") <= F.col("_hx")) & (F.col("_ly") <= F.col("_qy")) & (F.col("_py") <= F.col("_hy"))
     first = (F.floor(F.greatest("_lx", "_px") / cell) == F.col("_cell.x")) & (F.floor(F.greatest("_ly", "_py") / cell) == F.col("_cell.y"))
-    met = placed.join(rings, "_cell").where(common & first).withColumn("_sides", _sides(F.col("ring")))
+    # Spark tells sizes from the files, which do not know of cells, corners and copies: by those it would broadcast either side through the driver.
+    met = placed.join(rings.hint("merge"), "_cell").where(common & first).withColumn("_sides", _sides(F.col("ring")))
     touches = F.exists("_sides", lambda s: segments_meet(*ends, s["x1"], s["y1"], s["x2"], s["y2"]))
     return met.where(touches | point_inside(ends[0], ends[1], F.col("_sides"))).select(*links.columns, *polygons.columns)
 

@@ -236,3 +236,11 @@ def test_bad_attributes():
             list(shapes.attributes(content))
     with pytest.raises(shapes.BadShapefile, match="wider"):
         shapes.pack_attributes([("a", "C", 1)], [("xy",)])
+
+
+def test_polygons_are_not_broadcast(spark):
+    """Their file is small, their copies by cell are not."""
+    links = spark.createDataFrame([(1, 0.0, 0.0, 9.0, 9.0)], "k long, x1 double, y1 double, x2 double, y2 double")
+    ring = spark.createDataFrame([([(1.0, 1.0), (5.0, 1.0), (5.0, 5.0)],)], "ring array<struct<x: double, y: double>>")
+    got = spatial.overlay_polygons(links, ring, 2.0)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString() and got.count() == 1
